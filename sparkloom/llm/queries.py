@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .language_id import op2_language_id
+from .line_quality import op3_line_quality
 from .quality_classifier import op1_quality_classifier
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_language_id": op2_language_id,
+    "op3_line_quality": op3_line_quality,
 }
 
 ORACLES: dict[str, str] = {}
