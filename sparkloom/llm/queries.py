@@ -5,11 +5,15 @@ from __future__ import annotations
 from .language_id import op2_language_id
 from .line_quality import op3_line_quality
 from .quality_classifier import op1_quality_classifier
+from .sequence_packing import op4_sequence_packing
+from .token_output import op10_token_output
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
     "op3_line_quality": op3_line_quality,
+    "op4_sequence_packing": op4_sequence_packing,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLES: dict[str, str] = {}
