@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op8_decontamination
 from .language_id import op2_language_id
 from .line_quality import op3_line_quality
 from .quality_classifier import op1_quality_classifier
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_line_quality": op3_line_quality,
     "op4_sequence_packing": op4_sequence_packing,
+    "op8_decontamination": op8_decontamination,
     "op10_token_output": op10_token_output,
 }
 
