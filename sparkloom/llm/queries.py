@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op8_decontamination
 from .language_id import op2_language_id
 from .line_quality import op3_line_quality
+from .near_dedup import op5_near_dedup
 from .quality_classifier import op1_quality_classifier
 from .sequence_packing import op4_sequence_packing
 from .token_output import op10_token_output
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_line_quality": op3_line_quality,
     "op4_sequence_packing": op4_sequence_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op8_decontamination": op8_decontamination,
     "op10_token_output": op10_token_output,
 }
