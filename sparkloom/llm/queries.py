@@ -7,6 +7,7 @@ from .language_id import op2_language_id
 from .line_quality import op3_line_quality
 from .near_dedup import op5_near_dedup
 from .quality_classifier import op1_quality_classifier
+from .repeat_removal import op6_repeat_removal
 from .sequence_packing import op4_sequence_packing
 from .token_output import op10_token_output
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_line_quality": op3_line_quality,
     "op4_sequence_packing": op4_sequence_packing,
     "op5_near_dedup": op5_near_dedup,
+    "op6_repeat_removal": op6_repeat_removal,
     "op8_decontamination": op8_decontamination,
     "op10_token_output": op10_token_output,
 }
