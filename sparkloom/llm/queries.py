@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from .decontamination import op8_decontamination
 from .language_id import op2_language_id
+from .license_scan import ORACLE as LICENSE_SQL
+from .license_scan import op7_license_scan
 from .line_quality import op3_line_quality
 from .near_dedup import op5_near_dedup
+from .pseudonyms import op9_pseudonyms
 from .quality_classifier import op1_quality_classifier
 from .repeat_removal import op6_repeat_removal
 from .sequence_packing import op4_sequence_packing
@@ -18,8 +21,10 @@ QUERIES = {
     "op4_sequence_packing": op4_sequence_packing,
     "op5_near_dedup": op5_near_dedup,
     "op6_repeat_removal": op6_repeat_removal,
+    "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
+    "op9_pseudonyms": op9_pseudonyms,
     "op10_token_output": op10_token_output,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_license_scan": LICENSE_SQL}
