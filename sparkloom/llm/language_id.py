@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import fold, slices, table
 
-#: Bounds of the model: training rows, words and n-grams for each language.
+#: Bounds of the model: languages (the most frequent), and training rows, words
+#: and n-grams for each of them.
+LANGUAGES = 1000
 SAMPLE_ROWS = 4000
 WORDS = 20000
 GRAMS = 20000
@@ -54,12 +56,12 @@ def training_sample(docs: DataFrame) -> DataFrame:
     """About SAMPLE_ROWS rows of each language, chosen by hash of the id.
 
     The share to keep comes from a count per language, so no language is ever
-    gathered in one task.
+    gathered in one task. The counts are broadcast: at most LANGUAGES rows.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(float(SAMPLE_ROWS)) / F.col("rows"))
-    kept = known.join(counts.select("lang", share.alias("share")), "lang")
+    kept = known.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")
     return kept.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
 
