@@ -98,6 +98,7 @@ def ets_fits(df: DataFrame, grid: Sequence[tuple] = ETS_GRID) -> DataFrame:
     fits = fits.withColumn("end", F.aggregate(rest, _ets_state(first, slope, zero, zero), _ets_step))
     k = F.create_map(*(F.lit(x) for pair in ETS_PARAMETERS.items() for x in pair))[F.col("form")] + 1
     n = F.col("n") - 1
+    fits = fits.where(n - k - 1 > 0)
     aicc = n * F.log(F.greatest(F.col("end.sse") / n, F.lit(1e-12))) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
     return fits.select("series_id", "form", "alpha", "beta", "phi", "last_t", "end.level", "end.slope", "end.sse", aicc.alias("aicc"))
 
@@ -125,7 +126,8 @@ KPSS_CRITICAL = 0.463
 
 
 def kpss(df: DataFrame, lags: int = 3) -> DataFrame:
-    """(series_id, eta): level-stationarity statistic with Bartlett weights."""
+    """(series_id, eta): level-stationarity statistic with Bartlett weights; 0
+    for a constant series."""
     rows = df.withColumn("e", F.col("y") - F.avg("y").over(_series()))
     rows = rows.withColumn("s", F.sum("e").over(_in_time()))
     for j in range(1, lags + 1):
@@ -134,8 +136,8 @@ def kpss(df: DataFrame, lags: int = 3) -> DataFrame:
     for j in range(1, lags + 1):
         total = total + 2 * (1 - j / (lags + 1)) * F.coalesce(F.sum(f"g{j}"), F.lit(0.0))
     n = F.count("*")
-    eta = F.sum(F.col("s") * F.col("s")) / (n * n) / (total / n)
-    return rows.groupBy("series_id").agg(eta.alias("eta"))
+    eta = F.try_divide(F.sum(F.col("s") * F.col("s")) / (n * n), total / n)
+    return rows.groupBy("series_id").agg(F.coalesce(eta, F.lit(0.0)).alias("eta"))
 
 
 def differencing_order(df: DataFrame) -> DataFrame:
@@ -265,7 +267,8 @@ def stack_models(tables: dict[str, DataFrame]) -> DataFrame:
 
 def accuracy(forecasts: DataFrame, test: DataFrame, train: DataFrame, m: int = 1) -> DataFrame:
     """ME, RMSE, MAE, MPE, MAPE and MASE of each model on the held-out values;
-    MASE is scaled by the mean absolute m-step change of the training values."""
+    MASE is scaled by the mean absolute m-step change of the training values.
+    Ratios to zero are left out of their mean."""
     scale = seasonal_lag(train, m).groupBy("series_id").agg(F.avg(F.abs("change")).alias("scale"))
     rows = align(forecasts, test).join(scale, "series_id")
     e = F.col("actual") - F.col("forecast")
@@ -273,9 +276,9 @@ def accuracy(forecasts: DataFrame, test: DataFrame, train: DataFrame, m: int = 1
         F.avg(e).alias("me"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        F.avg(100 * e / F.col("actual")).alias("mpe"),
-        F.avg(F.abs(100 * e / F.col("actual"))).alias("mape"),
-        (F.avg(F.abs(e)) / F.max("scale")).alias("mase"),
+        F.avg(F.try_divide(100 * e, F.col("actual"))).alias("mpe"),
+        F.avg(F.abs(F.try_divide(100 * e, F.col("actual")))).alias("mape"),
+        F.try_divide(F.avg(F.abs(e)), F.max("scale")).alias("mase"),
     )
 
 

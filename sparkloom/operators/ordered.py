@@ -109,8 +109,9 @@ def index_series(df: DataFrame, key: Names, order: Names, start: int, step: int
     number = F.row_number().over(_over(key, order))
     out = df.withColumn("t", F.lit(start) + (number - 1) * step)
     if length is not None:
-        rows = F.count("*").over(Window.partitionBy(*key))
-        out = out.where(F.assert_true(rows == length, F.lit("series of another length")).isNull())
+        out = out.withColumn("_rows", F.count("*").over(Window.partitionBy(*key)))
+        right = F.assert_true(F.col("_rows") == length, F.lit("series of another length")).isNull()
+        out = out.where(right).drop("_rows")
     return out
 
 

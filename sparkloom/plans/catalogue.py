@@ -245,7 +245,7 @@ _ETS = (
     " UNION ALL SELECT r.series_id, r.n, r.last_t, r.form, r.alpha, r.beta, r.phi, r.k, r.i + 1,"
     " r.lv + r.sl * r.phi + r.alpha * (x.y - r.lv - r.sl * r.phi), r.sl * r.phi + r.alpha * r.beta * (x.y - r.lv - r.sl * r.phi),"
     " r.sse + (x.y - r.lv - r.sl * r.phi) * (x.y - r.lv - r.sl * r.phi) FROM rec r JOIN num x ON x.series_id = r.series_id AND x.i = r.i + 1),"
-    " fits AS (SELECT *, (n - 1) * ln(greatest(sse / (n - 1), 1e-12)) + 2 * k + 2 * k * (k + 1) / (n - 1 - k - 1) AS aicc FROM rec WHERE i = n),"
+    " fits AS (SELECT *, (n - 1) * ln(greatest(sse / (n - 1), 1e-12)) + 2 * k + 2 * k * (k + 1) / (n - 1 - k - 1) AS aicc FROM rec WHERE i = n AND n - 1 - k - 1 > 0),"
     " best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(aicc, 6), form, alpha, beta) AS place FROM fits) WHERE place = 1),"
     " ets AS (SELECT series_id, form, alpha, beta, h, last_t + h AS t, lv + sl * list_sum(list_transform(range(1, h + 1), lambda i: pow(phi, i))) AS forecast FROM best, steps)"
 )
@@ -355,12 +355,12 @@ def a01(spark, d):
     return M.round_report(_accuracy(spark, d), 5)
 
 
-@query("f03_accuracy_by_model", f"{_WITH_ACC} SELECT model, round(avg(e), 4) AS me, round(avg(abs(e)), 4) AS mae, count(*) AS n FROM err GROUP BY model")
+@query("f03_accuracy_by_model", f"{_WITH_ACC} SELECT model, round(avg(e), 6) AS me, round(avg(abs(e)), 6) AS mae, count(*) AS n FROM err GROUP BY model")
 def f03(spark, d):
     train, test = O.split_at(I.monthly(spark, d), I.CUT)
     e = F.col("actual") - F.col("forecast")
     rows = M.align(_stacked(train), test)
-    return rows.groupBy("model").agg(F.round(F.avg(e), 4).alias("me"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.count("*").alias("n"))
+    return rows.groupBy("model").agg(F.round(F.avg(e), 6).alias("me"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.count("*").alias("n"))
 
 
 @query("p34_round_report", f"{_WITH_ACC} SELECT series_id, model, {', '.join(f'round({m}, 2) AS {m}' for m in _MEASURES[3:])} FROM acc")
