@@ -44,7 +44,7 @@ DATE = (
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 KINDS = {
     "email": EMAIL, "access_key": ACCESS_KEY, "secret": SECRET, "date": DATE,
     "ssn": SSN, "phone": PHONE, "ipv4": IPV4, "card": CARD,
@@ -282,29 +282,32 @@ def pseudonym(s: Column, key: str = KEY) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with every valid value in ``text`` replaced, and ``n_replaced``.
+def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = "n_replaced") -> DataFrame:
+    """``docs`` with every valid value in ``text`` replaced, and their number in
+    the column ``count`` (None: no such column).
 
     The text is cut at all matches and put together again with their
     pseudonyms, so nothing else in it changes.
     """
-    value = F.col(text)
-    found = F.regexp_extract_all(value, F.lit(ANY), F.lit(0))
-    new = F.transform(F.col("_found"), lambda m: pseudonym(m, key))
+    value, found, new = F.col(text), "__pii_found", "__pii_new"
+    matches = F.regexp_extract_all(value, F.lit(ANY), F.lit(0))
+    some = docs.withColumn(found, F.when(value.rlike(HINT), matches))
+    some = some.withColumn(found, F.when(F.size(found) > 0, F.col(found)))
+    some = some.withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
     joined = F.array_join(
-        F.zip_with(F.split(value, ANY, -1), F.col("_new"), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), ""
+        F.zip_with(F.split(value, ANY, -1), new, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), ""
     )
-    changed = F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x)
-    some = docs.withColumn("_found", F.when(value.rlike(HINT), found))
-    some = some.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found"))).withColumn("_new", new)
-    some = some.withColumn("n_replaced", F.coalesce(F.size(changed), F.lit(0)).cast("long"))
-    some = some.withColumn(text, F.when(F.col("_found").isNull(), value).otherwise(joined))
-    return some.drop("_found", "_new")
+    changed = F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)
+    if count is not None:
+        some = some.withColumn(count, F.coalesce(F.size(changed), F.lit(0)).cast("long"))
+    some = some.withColumn(text, F.when(F.col(found).isNull(), value).otherwise(joined))
+    return some.drop(found, new)
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_replaced", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs).select("doc_id", "n_replaced", "text")
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymise(docs).select(docs.columns)
+    return pseudonymise(docs, count=None)

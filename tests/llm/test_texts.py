@@ -73,6 +73,13 @@ def test_invalid_values_stay(frame):
     assert out(frame, texts) == (texts, [0] * len(texts))
 
 
+def test_neighbouring_values(frame):
+    """Values that only a space parts do not hide each other."""
+    text = "+1 (269) 555-3296 4111111111111111 27.65.93.188 4012888888881881"
+    (new,), (n,) = out(frame, [text])
+    assert n == 4 and not set(new.split()[1:]) & set(text.split()[1:])
+
+
 def test_small_domains_are_permuted_whole(spark):
     from pyspark.sql import functions as F
 
