@@ -40,6 +40,8 @@ def _blocks(text: bytes) -> list[bytes]:
 def _dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary, or the raw text where there is too little to train."""
     blocks = [b for t in texts for b in _blocks(t)]
+    if len(blocks) < 16:
+        return b"".join(blocks)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
