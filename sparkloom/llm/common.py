@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,62 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a hash filter: 8 MB, whatever the number of hashes.
+FILTER_BITS = 1 << 26
+
+
+def hash_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of fixed size of a column of 64-bit hashes, summed up in
+    Spark. It never misses a hash; with more of them than it is good for, it lets
+    more others through."""
+    h, most = F.col(column), F.lit(FILTER_BITS - 1)
+    places = F.array(h.bitwiseAND(most), F.shiftrightunsigned(h, 26).bitwiseAND(most))
+    words = hashes.select(F.explode(places).alias("bit")).select(
+        F.expr("bit div 64").cast("int").alias("word"), F.expr("shiftleft(1L, int(bit % 64))").alias("mask")
+    )
+    summed = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[summed.column("word").to_numpy()] = summed.column("mask").to_numpy()
+    return bits
+
+
+def may_be_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through."""
+    found = np.full(len(hashes), True)
+    for place in (hashes & (FILTER_BITS - 1), (hashes >> 26) & (FILTER_BITS - 1)):
+        found &= (bits[place >> 6] >> (place & 63)) & 1 == 1
+    return found
+
+
+def split_by_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(may be among the ids, surely not): both parts of ``rows``, unshuffled.
+
+    The filter is broadcast, so long texts need not be shuffled to be told apart
+    by their ids. The first part still has to be joined to the ids.
+    """
+    bits = hash_filter(ids.select(F.xxhash64(column).alias("hash")), "hash")
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    hashed, names = rows.withColumn("__hash", F.xxhash64(column)), rows.columns
+
+    def part(inside: bool) -> DataFrame:
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = may_be_in(shared.value, batch.column("__hash").to_numpy())
+                yield batch.select(names).filter(pa.array(found == inside))
+
+        return hashed.mapInArrow(pick, rows.schema)
+
+    return part(True), part(False)
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows whose id is not among the ids; only rows in doubt are shuffled."""
+    ids = stored(ids.select(column).distinct())
+    doubt, clear = split_by_ids(rows, ids, column)
+    listed = ids.select(F.col(column).alias("__id"))
+    return clear.unionByName(doubt.join(listed, doubt[column].eqNullSafe(listed["__id"]), "left_anti"))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; remainder 2 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -54,7 +111,7 @@ def clean_labels(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``most`` bytes in each
     (a single longer text is a slice of its own)."""
     for batch in batches:

@@ -8,10 +8,13 @@ mantissa bits. 36 bands of 7 registers make candidates: a pair at the threshold
 misses all bands with a chance below one in a million.
 
 * A band bucket of up to SMALL classes gives all its pairs.
-* A larger one gives a star around its most typical class. What stays unlinked
-  there is compared in full, less the classes that cannot have a partner: if u
-  of a class's n shingles occur in no other class of large buckets, no
-  similarity above (n - u) / n is possible.
+* A larger one gives a star around its most typical class; then what is still
+  in different components there is compared in full, in groups of bounded size
+  whose pairs never leave their task.
+* Among the members of large buckets, the shingles that no other of them has
+  are counted first. Two such classes share at most the lesser number of their
+  other shingles, and what this rules out is not compared: in a large group of
+  near copies each copy's own edits set most of them apart.
 * Pairs whose sizes rule the threshold out go; then those whose
   collision-corrected estimate is more than six standard errors too low; all
   others are confirmed on the full sets. Nothing is capped.
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stored, table
+from .common import as_bytes, slices, split_by_ids, stored, table, without_ids
 from .kernels import LOWER, mix64, shingle_sets
 
 SHINGLE = 5
@@ -44,6 +47,8 @@ BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 SMALL = 16
+#: Members of a large bucket that one task compares with each other.
+GROUP = 1000
 #: Chance that registers of different minima agree, for the mantissa in use.
 COLLISION = 0.17 / (1 << MANTISSA_BITS)
 #: Sets below this size skip the estimate; comparing them in full is cheap.
@@ -129,7 +134,8 @@ def bands(classes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, n, shingles) of the wanted documents; sorted uint64 as bytes."""
+    """(rep, n, registers, shingles) of the wanted documents; the shingles are
+    sorted uint64 as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -138,13 +144,15 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                ["rep", "n", "shingles"],
+                ["rep", "n", "registers", "shingles"],
             )
 
-    some = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return some.mapInArrow(run, f"rep {_kind(docs)}, n long, shingles binary")
+    some, _ = split_by_ids(docs.select("doc_id", "text"), wanted.select(F.col("rep").alias("doc_id")))
+    sets = some.mapInArrow(run, f"rep {_kind(docs)}, n long, registers binary, shingles binary")
+    return sets.join(wanted, "rep", "left_semi")
 
 
 def _possible(na: F.Column, nb: F.Column) -> F.Column:
@@ -152,7 +160,7 @@ def _possible(na: F.Column, nb: F.Column) -> F.Column:
     return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) whose estimated similarity may reach the threshold."""
     least = PERCENT / 100 - 6 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
 
@@ -168,7 +176,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             ok = small | (estimate((a == b).sum(axis=1)) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    own = classes.select("rep", "n", "registers")
+    own = sets.select("rep", "n", "registers").where("registers is not null")
     rows = (
         pairs.select("a", "b")
         .distinct()
@@ -183,7 +191,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs that are links on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "sa"):
             ok = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -235,14 +243,28 @@ def _unique_counts(sets: DataFrame) -> DataFrame:
     return lone.groupBy("rep").agg(F.count("*").alias("alone"))
 
 
-def _typical(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of large buckets that may have a partner there, with ``shared``
-    (shingles that occur elsewhere) and ``alone``."""
-    reps = large.select("rep").distinct()
+def _shared_counts(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, shared): for the members of large buckets, how many shingles of
+    each occur in some other member of a large bucket."""
+    reps = large.select("rep", "n").distinct()
     alone = _unique_counts(sets.join(reps, "rep", "left_semi"))
-    rows = large.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    rows = rows.withColumn("shared", F.col("n") - F.col("alone"))
-    return rows.where(100 * F.col("shared") >= PERCENT * F.col("n"))
+    return reps.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _within_reach() -> F.Column:
+    """What two members of large buckets share is at most the lesser ``shared``
+    count; true unless that rules the threshold out."""
+    most = F.when(F.col("ca").isNotNull() & F.col("cb").isNotNull(), F.least("ca", "cb"))
+    return F.coalesce((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")), F.lit(True))
+
+
+def _bucket_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of (bucket, rep, n, shared) rows that meet in a bucket and are
+    not ruled out."""
+    x = members.select("bucket", "rep", "n", "shared").toDF("bucket", "a", "na", "ca")
+    y = members.select("bucket", "rep", "n", "shared").toDF("bucket", "b", "nb", "cb")
+    ordered = (F.col("a") < F.col("b")) & _possible(F.col("na"), F.col("nb"))
+    return x.join(y, "bucket").where(ordered & _within_reach()).select("a", "b")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -251,31 +273,88 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     shared = own.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(own.join(shared, "bucket"))
     sets = stored(full_sets(docs, members.select("rep").distinct()))
-    few = members.where(F.col("size") <= SMALL)
-    a = few.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = few.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "bucket").where((F.col("a") < F.col("b")) & _possible(F.col("na"), F.col("nb"))).select("a", "b")
     large = members.where(F.col("size") > SMALL)
+    few = members.where(F.col("size") <= SMALL)
     if large.isEmpty():
-        return stored(confirmed(likely(pairs, classes), sets))
-
-    large = stored(_typical(large, sets))
-    centre = large.groupBy("bucket").agg(F.min(F.struct("alone", "rep")).alias("c"))
-    star = large.join(centre.select("bucket", F.col("c.rep").alias("centre")), "bucket").where("rep != centre")
-    star = star.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-    first = stored(confirmed(likely(pairs.unionByName(star), classes), sets))
+        pairs = _bucket_pairs(few.withColumn("shared", F.lit(None).cast("long")))
+        return stored(confirmed(likely(pairs, sets), sets))
+
+    counts = stored(_shared_counts(large, sets))
+    pairs = _bucket_pairs(few.join(counts, "rep", "left"))
+    large = stored(large.join(counts, "rep").where(100 * F.col("shared") >= PERCENT * F.col("n")))
+    order = F.struct(F.col("n") - F.col("shared"), "rep")
+    centre = large.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "shared"), order).alias("c"))
+    star = large.join(centre, "bucket").select(
+        F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"),
+        F.col("n").alias("na"), F.col("c.n").alias("nb"), F.col("shared").alias("ca"), F.col("c.shared").alias("cb"),
+    )
+    star = star.where((F.col("a") != F.col("b")) & _possible(F.col("na"), F.col("nb")) & _within_reach()).select("a", "b")
+    first = stored(confirmed(likely(pairs.unionByName(star), sets), sets))
 
     labels = components(first)
     named = large.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    named = stored(named.join(split.select("bucket"), "bucket", "left_semi").select("bucket", "rep", "n", "shared", "label"))
-    x = named.toDF("bucket", "a", "na", "ca", "la")
-    y = named.toDF("bucket", "b", "nb", "cb", "lb")
-    common = F.least("ca", "cb")
-    reach = (100 + PERCENT) * common >= PERCENT * (F.col("na") + F.col("nb"))
-    rest = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & reach)
-    second = stored(confirmed(likely(rest.select("a", "b"), classes), sets))
-    return first.unionByName(second)
+    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows"))
+    rest = named.select("bucket", "rep", "label").join(split.where("lo != hi").select("bucket", "rows"), "bucket")
+    return first.unionByName(stored(links_in_groups(rest, sets)))
+
+
+def links_in_groups(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join different labels among the members of each bucket.
+
+    A group is a bucket, or a pair of parts of a bucket of more than GROUP rows.
+    All its intersections are counted in one task by matrix products over the
+    shingles that occur twice; what leaves the task is a spanning forest, so its
+    size is that of the group and not of its square.
+    """
+    parts = F.ceil(F.col("rows") / GROUP)
+    rows = rest.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select(
+        "rep", "label", F.concat_ws("/", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group_no")
+    )
+    kind = sets.schema["rep"].dataType.simpleString()
+
+    def spanning(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        found = [np.frombuffer(x, dtype=np.uint64) for x in group.column("shingles").to_pylist()]
+        labels = np.unique(group.column("label").to_numpy(), return_inverse=True)[1]
+        both = _intersections(found)
+        size = np.array([len(x) for x in found])
+        linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+        linked &= labels[:, None] < labels[None, :]
+        root = np.arange(labels.max() + 1)
+        kept: tuple[list[int], list[int]] = ([], [])
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+            a, b = root[labels[i]], root[labels[j]]
+            if a != b:
+                root[root == max(a, b)] = min(a, b)
+                kept[0].append(i)
+                kept[1].append(j)
+        ids = group.column("rep")
+        return pa.table({"a": ids.take(pa.array(kept[0], pa.int64())), "b": ids.take(pa.array(kept[1], pa.int64()))})
+
+    joined = rows.join(sets.select("rep", "shingles"), "rep")
+    return joined.groupBy("group_no").applyInArrow(spanning, f"a {kind}, b {kind}")
+
+
+def _intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections; memory is a few matrices of one row
+    per set and ``width`` columns."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = count > 1
+    column = np.cumsum(twice) - 1
+    keep = twice[at]
+    owner, at = owner[keep], column[at[keep]]
+    total = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, b = np.searchsorted(at, (low, low + width))
+        block = np.zeros((len(sets), width), dtype=np.float32)
+        block[owner[a:b], at[a:b] - low] = 1
+        total += block @ block.T
+    return total.astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -304,5 +383,4 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group; a document without words stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return without_ids(docs, near_duplicates(docs).where("not kept").select("doc_id"))
