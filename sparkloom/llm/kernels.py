@@ -23,11 +23,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_held_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base**0 .. base**(n - 1) modulo 2**64; the longest run asked for is kept."""
+    held = _held_powers.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(n + n // 4 + 1, base, dtype=np.uint64)
+        held[0] = 1
+        held = _held_powers[int(base)] = np.cumprod(held, dtype=np.uint64)
+    return held[:n]
 
 
 #: A random-looking 64-bit value for each byte, so that a range hash is not a
@@ -51,6 +57,15 @@ class RangeHasher:
         raw = (self._sums[end] - self._sums[start]) * self._back[start]
         return mix64(raw + (end - start).astype(np.uint64) * _ODD)
 
+    def every(self, length: int) -> np.ndarray:
+        """Hashes of all ranges of one length, for comparing with each other."""
+        n = max(0, len(self._sums) - length)
+        raw = (self._sums[length:] - self._sums[:n]) * self._back[:n]
+        raw ^= raw >> np.uint64(32)
+        raw *= _MIX1
+        raw ^= raw >> np.uint64(29)
+        return raw
+
 
 def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one uint8 array, each followed by one zero byte, and the

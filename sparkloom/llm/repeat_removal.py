@@ -13,24 +13,25 @@ content, so that equal strings meet wherever they stand:
    row per task, not one per occurrence. The rest meet by anchor hash, and there
    equal contexts are settled in the same way over the corpus.
 3. Anchors whose surviving contexts differ lie near the ends of repeats. Their
-   context bytes are fetched, and an enhanced suffix array is built over all
-   suffixes of the contexts of an anchor: sorted order, longest common prefixes,
+   contexts are cut in parts by the place where strings start; parts whose core
+   is found nowhere else go. For the others an enhanced suffix array is built over
+   all suffixes of the parts of equal core: sorted order, longest common prefixes,
    and a stack scan of the prefix intervals. An interval whose suffixes all
    follow the same byte is not left-maximal and is left to the interval one byte
    to the left; the others are maximal repeats, with all their occurrences. All
    occurrences but the first are covered.
 
-A group of more than LARGE contexts is not held by one task: its strings are
+A group of more than LARGE parts is not held by one task: its strings are
 settled one by one by hash, which covers the same bytes.
 
-Defined results: null is empty text; a text under LENGTH bytes keeps all; of
-equal rows (same doc_id) the one that sorts first by row digest counts as
-earlier, rows equal in all respects are treated alike. Extra columns are ignored.
+Defined results: null is empty text; a text under LENGTH bytes keeps all; rows
+that share a doc_id are one document: repeated rows do not count as earlier than
+each other, and what is covered in one is removed from all; a row without doc_id
+comes before all others and keeps all. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stored, table
-from .kernels import RangeHasher, lay_out
+from .common import as_bytes, hash_filter, may_be_in, slices, split_by_ids, stored, table
+from .kernels import RangeHasher, lay_out, mix64
 
 LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes of a context before and after the start of its anchor.
 BEFORE, AFTER = SPAN - 1, LENGTH
-#: Contexts of one anchor that a task holds; more go the way of large groups.
-LARGE = 100_000
-#: Suffix rows of one batch of anchors that a task sorts at a time.
-BATCH = 20_000
+#: Bytes of text hashed at a time; about 120 bytes of memory for each of them.
+SLICE = 1 << 18
+#: Anchors that a task gathers before it settles equal contexts among them.
+HELD = 1 << 19
+#: Parts of one core that a task holds; more go the way of large groups.
+LARGE = 20_000
+#: Parts that a task sorts at a time, if no core has more.
+BATCH = 4_000
 
 
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -62,21 +67,19 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, hasher: RangeHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all texts laid out in ``data``."""
+def anchors(data: np.ndarray, bounds: np.ndarray, hasher: RangeHasher) -> np.ndarray:
+    """Positions of the anchors of all texts laid out in ``data``."""
     n = len(data) - GRAM + 1
     if n < SPAN:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    at = np.arange(n)
-    grams = hasher(at, at + GRAM)
-    text = np.searchsorted(bounds, at, side="right") - 1
-    outside = at + GRAM > bounds[text + 1] - 1
-    grams[outside] = np.iinfo(np.uint64).max
+        return np.zeros(0, dtype=np.int64)
+    grams = hasher.every(GRAM)
+    # grams that reach over the end of their text never are the least
+    over = np.maximum(bounds[1:, None] - 1 - np.arange(GRAM), bounds[:-1, None]).ravel()
+    grams[over[over < n]] = np.iinfo(np.uint64).max
     least = _sliding(grams, SPAN, np.minimum)
     edge = np.zeros(SPAN - 1, dtype=np.uint64)
     greatest = _sliding(np.concatenate([edge, least, edge]), SPAN, np.maximum)
-    found = np.flatnonzero((grams == greatest) & ~outside)
-    return found, grams[found]
+    return np.flatnonzero((grams == greatest) & (grams != np.iinfo(np.uint64).max))
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,15 +92,32 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[last]
 
 
-def _first_of(*keys: np.ndarray, then: tuple[np.ndarray, ...]) -> np.ndarray:
-    """True for the first row, in the order of ``then``, of each equal ``keys``."""
-    order = np.lexsort([*then[::-1], *keys[::-1]])
-    same = np.ones(len(order) - 1, dtype=bool) if len(order) else np.zeros(0, dtype=bool)
-    for k in keys:
-        same &= k[order][1:] == k[order][:-1]
-    out = np.ones(len(order), dtype=bool)
-    out[order[1:]] = ~same
-    return out
+def _places(ids: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in the order of (doc_id, start), and the place of each row in
+    that order (equal for equal pairs). A null id comes first."""
+    plain = ids.null_count == 0 and pa.types.is_integer(ids.type)
+    rank = ids.to_numpy() if plain else _ranks(ids)
+    order = np.arange(len(rank))
+    if ((rank[1:] < rank[:-1]) | ((rank[1:] == rank[:-1]) & (starts[1:] < starts[:-1]))).any():
+        order = np.lexsort((starts, rank))
+    rank, starts = rank[order], starts[order]
+    new = np.zeros(len(order), dtype=np.int64)
+    new[1:] = (rank[1:] != rank[:-1]) | (starts[1:] != starts[:-1])
+    return order, np.cumsum(new)
+
+
+def _first_of(keys: np.ndarray, ids: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each key in the order of (doc_id, start), and the later
+    rows, in that order. Rows at the very place of the first are neither."""
+    order, place = _places(ids, starts)
+    sorted_keys = keys[order]
+    by_key = np.argsort(sorted_keys, kind="stable")
+    grouped = sorted_keys[by_key]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = grouped[1:] != grouped[:-1]
+    head = by_key[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+    later = np.sort(by_key[place[by_key] > place[head]])
+    return order[by_key[new]], order[later]
 
 
 #: kind 0: an anchor (start is its position, end the length of its text);
@@ -111,41 +131,52 @@ def _batch(kind: int, anchor: np.ndarray, context: np.ndarray, docs: pa.Array, s
     return pa.RecordBatch.from_arrays([*columns, pa.array(start), pa.array(end)], _NAMES)
 
 
+def _slice_anchors(batch: pa.RecordBatch) -> list:
+    """Of one slice: ids, start, text length, anchor hash and context hash."""
+    data, bounds = lay_out(as_bytes(batch.column("text")))
+    hasher = RangeHasher(data)
+    at = anchors(data, bounds, hasher)
+    text = np.searchsorted(bounds, at, side="right") - 1
+    begin, close = bounds[text], bounds[text + 1] - 1
+    left, right = np.maximum(at - BEFORE, begin), np.minimum(at + AFTER, close)
+    long = right - left >= LENGTH
+    at, text, begin, close, left, right = (x[long] for x in (at, text, begin, close, left, right))
+    # where a context is cut short by its text, that is part of it
+    cut = ((at - left) * 256 + (right - at)).astype(np.uint64)
+    context = hasher(left, right) ^ (cut * np.uint64(0x9E3779B97F4A7C15))
+    anchor = hasher(at, at + GRAM).view(np.int64)
+    return [batch.column("doc_id").take(pa.array(text)), at - begin, close - begin, anchor, context.view(np.int64)]
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """Step 1 and the task's part of step 2 (see _ROWS)."""
 
+    def settled(parts: list[list]) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays([p[0] for p in parts])
+        start, size, anchor, context = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
+        keep, again = _first_of(anchor ^ context, ids, start)
+        yield _batch(0, anchor[keep], context[keep], ids.take(pa.array(keep)), start[keep], size[keep])
+        if len(again):
+            # runs of overlapping contexts of one document become one row
+            left, right = np.maximum(start[again] - BEFORE, 0), np.minimum(start[again] + AFTER, size[again])
+            rank = _ranks(ids.take(pa.array(again)))
+            new = np.ones(len(again), dtype=bool)
+            new[1:] = (rank[1:] != rank[:-1]) | (left[1:] > right[:-1]) | (left[1:] < left[:-1])
+            last = np.append(np.flatnonzero(new)[1:] - 1, len(again) - 1)
+            spread = anchor[again[new]]
+            yield _batch(1, spread, spread, ids.take(pa.array(again[new])), left[new], right[last])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            data, bounds = lay_out(as_bytes(batch.column("text")))
-            hasher = RangeHasher(data)
-            at, grams = anchors(data, bounds, hasher)
-            if not len(at):
-                continue
-            text = np.searchsorted(bounds, at, side="right") - 1
-            begin, close = bounds[text], bounds[text + 1] - 1
-            left, right = np.maximum(at - BEFORE, begin), np.minimum(at + AFTER, close)
-            # where a context is cut short by its text, that is part of it
-            cut = (at - left) * 256 + (right - at)
-            context = hasher(left, right) ^ (cut.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            ids = batch.column("doc_id")
-            rank = _ranks(ids)[text]
-            first = _first_of(grams, context, then=(rank, at - begin))
-            long = right - left >= LENGTH
-            keep = first & long
-            yield _batch(
-                0,
-                grams[keep].view(np.int64),
-                context[keep].view(np.int64),
-                ids.take(pa.array(text[keep])),
-                (at - begin)[keep],
-                (close - begin)[keep],
-            )
-            again = ~first & long
-            if again.any():
-                starts, ends = _merged(left[again], right[again])
-                text = np.searchsorted(bounds, starts, side="right") - 1
-                spread = starts * 0x9E3779B1 + bounds[text]
-                yield _batch(1, spread, spread, ids.take(pa.array(text)), starts - bounds[text], ends - bounds[text])
+        parts: list[list] = []
+        held = 0
+        for batch in slices(batches, "text", SLICE):
+            parts.append(_slice_anchors(batch))
+            held += len(parts[-1][1])
+            if held >= HELD:
+                yield from settled(parts)
+                parts, held = [], 0
+        if held:
+            yield from settled(parts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, _ROWS.format(kind=kind))
@@ -157,24 +188,23 @@ def _ranks(ids: pa.Array) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
-    """Tables of whole groups of ``key`` from batches sorted by it."""
+    """Tables of whole groups of ``key``, of about ``least`` rows (more only for
+    a larger group), from batches sorted by it."""
     held: list[pa.RecordBatch] = []
     rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if rows >= least:
-            keys = batch.column(key).to_numpy()
-            last = held[-1].column(key)[held[-1].num_rows - 1].as_py()
-            n = int((keys == last).cumprod().sum())
-            held.append(batch.slice(0, n))
-            if n < batch.num_rows:
+    for whole in batches:
+        for start in range(0, whole.num_rows, least):
+            batch = whole.slice(start, least)
+            if rows >= least:
+                last = held[-1].column(key)[held[-1].num_rows - 1].as_py()
+                n = int((batch.column(key).to_numpy() == last).cumprod().sum())
+                held.append(batch.slice(0, n))
+                if n == batch.num_rows:
+                    continue
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, rows, batch = [], 0, batch.slice(n)
-            else:
-                continue
-        held.append(batch)
-        rows += batch.num_rows
+            held.append(batch)
+            rows += batch.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -187,50 +217,113 @@ def settle_contexts(rows: DataFrame) -> DataFrame:
         for group in _chunks(batches, "anchor", 1 << 16):
             column = {c: group.column(c).combine_chunks() for c in _NAMES}
             kind, anchor, context, start, end = (column[c].to_numpy() for c in _NAMES if c != "doc_id")
-            ids, is_anchor = column["doc_id"], kind == 0
-            first = _first_of(anchor, context, kind, then=(_ranks(ids), start))
-            again = np.flatnonzero(is_anchor & ~first)
+            ids = column["doc_id"]
+            done, own = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+            yield _batch(1, anchor[done], context[done], ids.take(pa.array(done)), start[done], end[done])
+            first, later = _first_of(anchor[own] ^ context[own], ids.take(pa.array(own)), start[own])
+            again, own = own[later], own[first]
             yield _batch(
                 1, anchor[again], context[again], ids.take(pa.array(again)),
                 np.maximum(start[again] - BEFORE, 0), np.minimum(start[again] + AFTER, end[again]),
-            )
-            own = np.flatnonzero(is_anchor & first)
+            )
             _, at, n = np.unique(anchor[own], return_inverse=True, return_counts=True)
-            own = own[n[at] > 1]
-            yield _batch(0, anchor[own], n[at][n[at] > 1], ids.take(pa.array(own)), start[own], end[own])
-            done = np.flatnonzero(~is_anchor)
-            yield _batch(1, anchor[done], context[done], ids.take(pa.array(done)), start[done], end[done])
+            several = n[at] > 1
+            own, n = own[several], n[at][several]
+            yield _batch(0, anchor[own], n, ids.take(pa.array(own)), start[own], end[own])
 
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, rows.schema)
 
 
+#: Starts of strings in a context are taken in three parts. All strings of a part
+#: share a core, so a part can only repeat where its core does.
+PART = SPAN // 3
+
+
+def _part_keys(anchor: np.ndarray, lead: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, part, key) of the parts whose core lies inside their context."""
+    data, bounds = lay_out(texts)
+    hasher, size, shift = RangeHasher(data), np.diff(bounds) - 1, BEFORE - lead
+    found = []
+    for part, low in enumerate(range(0, SPAN, PART)):
+        begin, end = low + PART - 1 - shift, low + LENGTH - shift
+        own = np.flatnonzero((begin >= 0) & (end <= size))
+        key = hasher(bounds[own] + begin[own], bounds[own] + end[own]) ^ anchor[own].view(np.uint64)
+        found.append((own, np.full(len(own), part), mix64(key + np.uint64(part)).view(np.int64)))
+    context, part, key = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(context, kind="stable")
+    return context[order], part[order], key[order]
+
+
 def context_rows(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """Step 3: anchor, size of its group, doc_id, first byte, lead and bytes of
-    each surviving context. ``lead`` is the number of bytes before the anchor."""
+    """Step 3: of each surviving context its bytes, where they start, how many
+    stand before the anchor (``lead``), and parts with their keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = ends.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "context", "start")).alias("ends"))
+    wanted = ends.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start")).alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            of, out = [], []
-            for k, (text, ends) in enumerate(zip(as_bytes(batch.column("text")), batch.column("ends").to_pylist())):
-                for e in ends:
-                    at = e["start"]
-                    left = max(0, at - BEFORE)
-                    of.append(k)
-                    # one byte more on the left tells whether repeats extend there
-                    out.append((e["anchor"], e["context"], left, at - left, text[left : at + AFTER], text[max(0, left - 1) : left]))
-            if out:
-                columns = list(zip(*out))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
-                yield pa.RecordBatch.from_arrays(
-                    [*arrays[:2], batch.column("doc_id").take(pa.array(of)), *arrays[2:]],
-                    ["anchor", "size", "doc_id", "left", "lead", "bytes", "preceding"],
-                )
+        for batch in slices(batches, "text"):
+            lists = batch.column("ends")
+            n = np.diff(lists.offsets.to_numpy())
+            inside = slice(int(lists.offsets[0].as_py()), int(lists.offsets[-1].as_py()))
+            anchor, at = (lists.values.field(c).to_numpy()[inside] for c in ("anchor", "start"))
+            if not len(at):
+                continue
+            of = np.repeat(np.arange(batch.num_rows), n)
+            left = np.maximum(at - BEFORE, 0)
+            texts = as_bytes(batch.column("text"))
+            cut = [texts[k][a:b] for k, a, b in zip(of.tolist(), left.tolist(), (at + AFTER).tolist())]
+            context, part, key = _part_keys(anchor, at - left, cut)
+            bounds = pa.array(np.searchsorted(context, np.arange(len(at) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(of)),
+                    pa.array(left),
+                    pa.array((at - left).astype(np.int32)),
+                    pa.array(cut, pa.binary()),
+                    pa.ListArray.from_arrays(bounds, pa.array(part.astype(np.int32))),
+                    pa.ListArray.from_arrays(bounds, pa.array(key)),
+                ],
+                ["doc_id", "left", "lead", "bytes", "parts", "keys"],
+            )
+
+    schema = f"doc_id {kind}, left long, lead int, bytes binary, parts array<int>, keys array<long>"
+    some, _ = split_by_ids(docs.select("doc_id", "text"), ends)
+    return some.join(wanted, "doc_id").mapInArrow(run, schema)
+
+
+def part_rows(contexts: DataFrame, alive: DataFrame) -> DataFrame:
+    """(key, doc_id, left, lead, bytes) of the parts whose key another has too:
+    the bytes that the strings of the part can cover, and where the first of them
+    stands in the part. A hash filter picks them; what it lets through in error
+    is alone under its key."""
+    kind = contexts.schema["doc_id"].dataType.simpleString()
+    shared = contexts.sparkSession.sparkContext.broadcast(hash_filter(alive, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes"):
+            keys, parts = batch.column("keys"), batch.column("parts")
+            inside = slice(int(keys.offsets[0].as_py()), int(keys.offsets[-1].as_py()))
+            key = keys.values.to_numpy()[inside]
+            own = np.flatnonzero(may_be_in(shared.value, key))
+            context = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))[own]
+            low = parts.values.to_numpy()[parts.offsets[0].as_py() :][own].astype(np.int64) * PART
+            shift = BEFORE - batch.column("lead").to_numpy().astype(np.int64)[context]
+            begin = np.maximum(low - shift, 0)
+            close = low + PART - 1 + LENGTH - shift
+            texts = batch.column("bytes").to_pylist()
+            cut = [texts[c][a:b] for c, a, b in zip(context.tolist(), begin.tolist(), close.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key[own]),
+                    batch.column("doc_id").take(pa.array(context)),
+                    pa.array(batch.column("left").to_numpy()[context] + begin),
+                    pa.array((begin + shift - low).astype(np.int32)),
+                    pa.array(cut, pa.binary()),
+                ],
+                ["key", "doc_id", "left", "lead", "bytes"],
+            )
 
-    schema = f"anchor long, size long, doc_id {kind}, left long, lead int, bytes binary, preceding binary"
-    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(run, schema)
+    return contexts.mapInArrow(run, f"key long, doc_id {kind}, left long, lead int, bytes binary")
 
 
 def prefix_intervals(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -248,77 +341,70 @@ def prefix_intervals(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
 
 
 def maximal_repeats(
-    anchor: np.ndarray, lead: np.ndarray, texts: list[bytes], preceding: list[bytes]
+    keys: np.ndarray, lead: np.ndarray, texts: list[bytes]
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, contexts, first byte in each) of the maximal repeats of at least
-    LENGTH bytes among contexts of equal anchors.
+    """(length, rows, first byte in each) of the maximal repeats of at least
+    LENGTH bytes among rows of equal keys.
 
-    Contexts are aligned at their anchor, as equal strings must be. Suffixes are
-    taken from right to left, one start at a time: their order follows from the
-    byte at the start and the order of the suffixes one byte shorter. A repeat
-    that goes on past the context is reported as far as the context reaches.
+    Rows are aligned (``lead``), as equal strings must be. Suffixes are taken from
+    right to left, one start at a time: their order follows from the byte at the
+    start and the order of the suffixes one byte shorter. A repeat that goes on
+    past a row's bytes is reported as far as they reach.
     """
-    n, width = len(texts), BEFORE + AFTER + 1
-    grid = np.zeros((n, width), dtype=np.int16)  # 0 where the text has ended
-    for row, text, before, shift in zip(grid, texts, preceding, (BEFORE + 1 - lead).tolist()):
-        row[shift : shift + len(text)] = np.frombuffer(text, dtype=np.uint8)
-        row[shift : shift + len(text)] += 1
-        if before:
-            row[shift - 1] = before[0] + 1
-    _, group = np.unique(anchor, return_inverse=True)
-    length = np.array([len(t) for t in texts]) - lead + BEFORE + 1
-    # rank of the suffix that starts at the anchor, within its group
-    tail = np.ascontiguousarray(grid[:, BEFORE + 1 :].astype(">i2")).view(f"S{2 * AFTER}").ravel()
-    rank = np.unique(tail, return_inverse=True)[1]
-    for start in range(BEFORE + 1, 0, -1):
-        if start <= BEFORE:
+    n, width = len(texts), PART - 1 + LENGTH
+    grid = np.zeros((n, width), dtype=np.int16)  # 0 where a row has no byte
+    for row, text, s in zip(grid, texts, lead.tolist()):
+        row[s : s + len(text)] = np.frombuffer(text, dtype=np.uint8)
+        row[s : s + len(text)] += 1
+    _, group = np.unique(keys, return_inverse=True)
+    end = np.array([len(t) for t in texts]) + lead
+    tail = np.ascontiguousarray(grid[:, PART - 1 :].astype(">i2"))
+    rank = np.unique(tail.view(f"S{2 * tail.shape[1]}").ravel(), return_inverse=True)[1]
+    for start in range(PART - 1, -1, -1):
+        if start < PART - 1:
             rank = np.unique(grid[:, start].astype(np.int64) * (n + 1) + rank, return_inverse=True)[1]
-        order = np.lexsort((rank, group))
-        order = order[length[order] - start >= LENGTH]
-        order = order[grid[order, start] > 0]
+        order = np.argsort(group * (n + 1) + rank, kind="stable")
+        order = order[(end[order] - start >= LENGTH) & (grid[order, start] > 0)]
         if len(order) < 2:
             continue
         window = grid[order, start:]
         differ = window[1:] != window[:-1]
         common = np.where(differ.any(axis=1), differ.argmax(axis=1), window.shape[1])
-        common = np.minimum(common, np.minimum(length[order][1:], length[order][:-1]) - start)
+        common = np.minimum(common, np.minimum(end[order][1:], end[order][:-1]) - start)
         common[group[order][1:] != group[order][:-1]] = 0
         long = common >= LENGTH
         if not long.any():
             continue
-        left = grid[order, start - 1] if start > 1 else np.zeros(len(order), dtype=np.int16)
-        diverse = long & ((left[1:] != left[:-1]) | (left[1:] == 0) | (start == 1))
+        # strings at the first start of a part have their left neighbours elsewhere
+        left = grid[order, start - 1] if start else np.zeros(len(order), dtype=np.int16)
+        diverse = long & ((left[1:] != left[:-1]) | (left[1:] == 0))
         run = np.cumsum(np.concatenate(([True], ~long)))  # entries joined by long prefixes
-        kept = np.isin(run, np.unique(run[1:][diverse]))
-        for number in np.unique(run[kept]):
-            members = np.flatnonzero(run == number)
-            a, b = int(members[0]), int(members[-1])
-            for first, last, most in prefix_intervals(common[a:b].tolist(), LENGTH):
+        first_of_run = np.flatnonzero(np.concatenate(([True], ~long)))
+        for number in np.unique(run[1:][diverse]).tolist():
+            a = int(first_of_run[number - 1])
+            b = int(first_of_run[number]) if number < len(first_of_run) else len(order)
+            for first, last, most in prefix_intervals(common[a : b - 1].tolist(), LENGTH):
                 inside = left[a + first : a + last + 1]
-                if start == 1 or (inside == 0).any() or (inside != inside[0]).any():
+                if (inside == 0).any() or (inside != inside[0]).any():
                     rows = order[a + first : a + last + 1]
-                    yield most, rows, start - (BEFORE + 1 - lead[rows])
+                    yield most, rows, start - lead[rows]
 
 
-def covered_by_repeats(contexts: DataFrame) -> DataFrame:
+def covered_by_repeats(parts: DataFrame) -> DataFrame:
     """(doc_id, start, end) of the occurrences of maximal repeats that have an
     earlier occurrence."""
-    kind = contexts.schema["doc_id"].dataType.simpleString()
+    kind = parts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _chunks(batches, "anchor", BATCH):
+        for part in _chunks(batches, "key", BATCH):
             ids = part.column("doc_id").combine_chunks()
-            place = np.lexsort((part.column("left").to_numpy() + part.column("lead").to_numpy(), _ranks(ids)))
-            rank = np.empty(len(place), dtype=np.int64)
-            rank[place] = np.arange(len(place))
+            lead = part.column("lead").to_numpy().astype(np.int64)
             left = part.column("left").to_numpy()
+            order, place = _places(ids, left - lead)
+            rank = np.empty(len(place), dtype=np.int64)
+            rank[order] = place
             found: list[tuple[np.ndarray, np.ndarray, int]] = []
-            repeats = maximal_repeats(
-                part.column("anchor").to_numpy(),
-                part.column("lead").to_numpy().astype(np.int64),
-                part.column("bytes").to_pylist(),
-                part.column("preceding").to_pylist(),
-            )
+            repeats = maximal_repeats(part.column("key").to_numpy(), lead, part.column("bytes").to_pylist())
             for most, rows, first_byte in repeats:
                 later = rank[rows] > rank[rows].min()
                 found.append((rows[later], left[rows[later]] + first_byte[later], most))
@@ -330,14 +416,14 @@ def covered_by_repeats(contexts: DataFrame) -> DataFrame:
                     [ids.take(pa.array(rows)), pa.array(start), pa.array(end)], ["doc_id", "start", "end"]
                 )
 
-    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor")
+    dealt = parts.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, f"doc_id {kind}, start long, end long")
 
 
-def covered_by_hash(contexts: DataFrame) -> DataFrame:
-    """The same for the contexts of very large groups, string by string: one row
-    for each string of LENGTH bytes, settled by the least place of its hash."""
-    kind = contexts.schema["doc_id"].dataType.simpleString()
+def covered_by_hash(parts: DataFrame) -> DataFrame:
+    """The same for the rows of very large groups, string by string: one row for
+    each string of LENGTH bytes, settled by the least place of its hash."""
+    kind = parts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 1 << 18):
@@ -352,7 +438,7 @@ def covered_by_hash(contexts: DataFrame) -> DataFrame:
             ids = batch.column("doc_id").take(pa.array(text))
             yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(start)], ["key", "doc_id", "start"])
 
-    strings = contexts.mapInArrow(run, f"key long, doc_id {kind}, start long").distinct()
+    strings = parts.mapInArrow(run, f"key long, doc_id {kind}, start long").distinct()
     first = strings.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
     later = strings.join(first.where("n > 1"), "key").where(F.struct("doc_id", "start") > F.col("first"))
     return later.select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
@@ -362,19 +448,43 @@ def covered_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): for each document with repeated bytes its intervals."""
     settled = stored(settle_contexts(anchor_rows(docs)))
     contexts = stored(context_rows(docs, settled.where("kind = 0")))
-    parts = [
-        settled.where("kind = 1").select("doc_id", "start", "end"),
-        covered_by_repeats(contexts.where(F.col("size") <= LARGE)),
-    ]
-    large = contexts.where(F.col("size") > LARGE)
+    keys = contexts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    alive = stored(keys.where("n > 1"))
+    rows = part_rows(contexts, alive)
+    large = alive.where(F.col("n") > LARGE).select("key")
+    parts = [settled.where("kind = 1").select("doc_id", "start", "end")]
     if not large.isEmpty():
-        parts.append(covered_by_hash(large))
+        parts.append(covered_by_hash(rows.join(large, "key", "left_semi")))
+        rows = rows.join(large, "key", "left_anti")
+    parts.append(covered_by_repeats(rows))
     spans = parts[0]
     for more in parts[1:]:
         spans = spans.unionByName(more)
+    spans = merged_spans(spans.where("doc_id is not null"))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """Overlapping spans of a document made one (within a batch), so that few
+    rows are left to gather for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("doc_id")
+            document = np.concatenate(([0], np.cumsum(np.diff(_ranks(ids)) != 0))) << 40
+            start, end = (batch.column(c).to_numpy() + document for c in ("start", "end"))
+            start, end = _merged(start, end)
+            first = np.searchsorted(document, start >> 40 << 40)
+            low = (1 << 40) - 1
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(first)), pa.array(start & low), pa.array(end & low)], ["doc_id", "start", "end"]
+            )
+
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, spans.schema)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -383,17 +493,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             removed, n_spans, rest = [], [], []
             texts = as_bytes(batch.column("text"))
-            for text, spans in zip(texts, batch.column("spans").to_pylist()):
-                if not spans:
+            lists = batch.column("spans")
+            at = lists.offsets.to_numpy()
+            begin, close = (lists.values.field(c).to_numpy() for c in ("start", "end"))
+            for text, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist()):
+                if a == b:
                     removed.append(0)
                     n_spans.append(0)
                     rest.append(text)
                     continue
-                starts, ends = _merged(*(np.array([s[k] for s in spans], dtype=np.int64) for k in ("start", "end")))
+                starts, ends = _merged(*(np.minimum(x[a:b], len(text)) for x in (begin, close)))
+                starts, ends = starts[ends > starts], ends[ends > starts]
                 removed.append(int((ends - starts).sum()))
                 n_spans.append(len(starts))
                 edges = zip([0, *ends.tolist()], [*starts.tolist(), len(text)])
-                rest.append(b"".join([text[a:b] for a, b in edges]))
+                rest.append(b"".join([text[x:y] for x, y in edges]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -406,8 +520,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             )
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
-    rows = docs.select("doc_id", "text").join(covered_bytes(docs), "doc_id", "left")
-    return rows.mapInArrow(run, schema)
+    covered = stored(covered_bytes(docs))
+    some, rest = split_by_ids(docs.select("doc_id", "text"), covered)
+    rest = rest.withColumn("spans", F.lit(None).cast(covered.schema["spans"].dataType))
+    return some.join(covered, "doc_id", "left").unionByName(rest).mapInArrow(run, schema)
 
 
 def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
