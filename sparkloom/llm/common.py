@@ -13,7 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between the JVM and Python. Texts are long, and each
+#: task holds a batch on both sides.
+ARROW_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for this session, unless the cluster sets a bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +46,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -125,6 +139,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

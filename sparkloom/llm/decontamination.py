@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stored, table
+from .common import as_bytes, slices, stored, table, without_ids
 from .kernels import mix64, word_hashes
 
 WINDOW = 10
 #: Words of the query set that one block holds on average.
 BLOCK_WORDS = 2_000_000
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 #: Free positions between the texts of a segment.
 GAP = 64
 
@@ -295,5 +295,4 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window; an id goes with any of its rows."""
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, found.where("contaminated").select("doc_id"))
