@@ -403,18 +403,19 @@ def covered_by_repeats(parts: DataFrame) -> DataFrame:
             order, place = _places(ids, left - lead)
             rank = np.empty(len(place), dtype=np.int64)
             rank[order] = place
-            found: list[tuple[np.ndarray, np.ndarray, int]] = []
+            # strings of one part overlap, so what they cover in a row is one span
+            low, high = np.full(len(left), PART + LENGTH), np.zeros(len(left), dtype=np.int64)
             repeats = maximal_repeats(part.column("key").to_numpy(), lead, part.column("bytes").to_pylist())
             for most, rows, first_byte in repeats:
                 later = rank[rows] > rank[rows].min()
-                found.append((rows[later], left[rows[later]] + first_byte[later], most))
-            if found:
-                rows = np.concatenate([r for r, _, _ in found])
-                start = np.concatenate([s for _, s, _ in found])
-                end = np.concatenate([s + most for _, s, most in found])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array(start), pa.array(end)], ["doc_id", "start", "end"]
-                )
+                rows, first_byte = rows[later], first_byte[later]
+                low[rows] = np.minimum(low[rows], first_byte)
+                high[rows] = np.maximum(high[rows], first_byte + most)
+            rows = np.flatnonzero(high)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(rows)), pa.array(left[rows] + low[rows]), pa.array(left[rows] + high[rows])],
+                ["doc_id", "start", "end"],
+            )
 
     dealt = parts.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, f"doc_id {kind}, start long, end long")
