@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, split_by_ids, stored, table, without_ids
+from .common import as_bytes, hash_filter, may_be_in, slices, stored, table, without_ids
 from .kernels import LOWER, mix64, shingle_sets
 
 SHINGLE = 5
@@ -48,7 +48,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 SMALL = 16
 #: Members of a large bucket that one task compares with each other.
-GROUP = 1000
+GROUP = 500
 #: Chance that registers of different minima agree, for the mantissa in use.
 COLLISION = 0.17 / (1 << MANTISSA_BITS)
 #: Sets below this size skip the estimate; comparing them in full is cheap.
@@ -137,8 +137,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, n, registers, shingles) of the wanted documents; the shingles are
     sorted uint64 as bytes."""
 
+    bits = hash_filter(wanted.select(F.xxhash64("rep").alias("hash")), "hash")
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for whole in slices(batches, "text"):
+            batch = whole.filter(pa.array(may_be_in(shared.value, whole.column("__hash").to_numpy())))
+            if not batch.num_rows:
+                continue
             sets = _sets(batch)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -150,8 +156,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["rep", "n", "registers", "shingles"],
             )
 
-    some, _ = split_by_ids(docs.select("doc_id", "text"), wanted.select(F.col("rep").alias("doc_id")))
-    sets = some.mapInArrow(run, f"rep {_kind(docs)}, n long, registers binary, shingles binary")
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("__hash"))
+    sets = hashed.mapInArrow(run, f"rep {_kind(docs)}, n long, registers binary, shingles binary")
     return sets.join(wanted, "rep", "left_semi")
 
 
@@ -337,7 +343,7 @@ def links_in_groups(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.groupBy("group_no").applyInArrow(spanning, f"a {kind}, b {kind}")
 
 
-def _intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+def _intersections(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Sizes of all pairwise intersections; memory is a few matrices of one row
     per set and ``width`` columns."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
