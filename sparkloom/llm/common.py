@@ -79,15 +79,17 @@ def may_be_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def split_by_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def split_by_ids(rows: DataFrame, ids: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     """(may be among the ids, surely not): both parts of ``rows``, unshuffled.
 
     The filter is broadcast, so long texts need not be shuffled to be told apart
-    by their ids. The first part still has to be joined to the ids.
+    by their ids (``doc_id``, or other columns). The first part still has to be
+    joined to the ids.
     """
-    bits = hash_filter(ids.select(F.xxhash64(column).alias("hash")), "hash")
+    columns = columns or ("doc_id",)
+    bits = hash_filter(ids.select(F.xxhash64(*columns).alias("hash")), "hash")
     shared = rows.sparkSession.sparkContext.broadcast(bits)
-    hashed, names = rows.withColumn("__hash", F.xxhash64(column)), rows.columns
+    hashed, names = rows.withColumn("__hash", F.xxhash64(*columns)), rows.columns
 
     def part(inside: bool) -> DataFrame:
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +110,27 @@ def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> Data
     return clear.unionByName(doubt.join(listed, doubt[column].eqNullSafe(listed["__id"]), "left_anti"))
 
 
+def text_key() -> Column:
+    """A 64-bit hash of ``text``, to tell rows of one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def without_rows(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows of ``docs`` without those that ``listed`` names by (doc_id, text_key,
+    stays): all rows of that id and text go, or all but one where ``stays``. A
+    null id is compared like any other; only rows in doubt are shuffled."""
+    listed = stored(listed.select("doc_id", F.col("text_key").alias("__text_key"), "stays"))
+    keyed = docs.withColumn("__text_key", text_key())
+    doubt, clear = split_by_ids(keyed, listed, "doc_id", "__text_key")
+    own = listed.toDF("__id", "__key", "stays")
+    same = doubt["doc_id"].eqNullSafe(own["__id"]) & (doubt["__text_key"] == own["__key"])
+    out = clear.unionByName(doubt.join(own, same, "left_anti"))
+    one = own.where("stays")
+    if not one.isEmpty():
+        out = out.unionByName(doubt.join(one, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]))
+    return out.drop("__text_key")
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; remainder 2 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -25,7 +25,12 @@ with pointer jumping; each round is written to the shared folder.
 Defined results: a document without words has an empty set and is alone; one of
 fewer than five words has its whole word sequence as single shingle; repeated
 rows count as copies and keep their rows; the smallest doc_id of a group names
-it; rows without doc_id are alone under a null id. Extra columns are ignored.
+it; different texts under one doc_id are grouped each on its own; rows without
+doc_id are alone under a null id. Extra columns are ignored.
+
+The pipeline stage removes single rows, told apart by doc_id and text: of each
+group one row of the smallest doc_id stays, and of repeated rows one. All rows
+without doc_id stay.
 """
 
 from __future__ import annotations
@@ -34,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hash_filter, may_be_in, slices, stored, table, without_ids
+from .common import as_bytes, hash_filter, may_be_in, slices, stored, table, text_key, without_rows
 from .kernels import LOWER, mix64, shingle_sets
 
 SHINGLE = 5
@@ -91,7 +96,8 @@ def _kind(docs: DataFrame) -> str:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's key and its registers (null when empty)."""
+    """doc_id, text_key, n_shingles, the set's key and its registers (null when
+    empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -100,16 +106,17 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([a for a, _ in keys], pa.int64()),
                     pa.array([b for _, b in keys], pa.int64()),
                     pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "key_a", "key_b", "registers"],
+                ["doc_id", "text_key", "n_shingles", "key_a", "key_b", "registers"],
             )
 
-    schema = f"doc_id {_kind(docs)}, n_shingles long, key_a long, key_b long, registers binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"doc_id {_kind(docs)}, text_key long, n_shingles long, key_a long, key_b long, registers binary"
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, schema)
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -128,16 +135,15 @@ def bands(classes: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), lists], ["rep", "n", "keys"])
 
-    kind = classes.schema["rep"].dataType.simpleString()
-    rows = classes.select("rep", "n", "registers").mapInArrow(run, f"rep {kind}, n long, keys array<long>")
+    rows = classes.select("rep", "n", "registers").mapInArrow(run, "rep long, n long, keys array<long>")
     return rows.select(F.explode("keys").alias("bucket"), "rep", "n")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, n, registers, shingles) of the wanted documents; the shingles are
-    sorted uint64 as bytes."""
+    """(rep, n, registers, shingles) of the wanted classes (rep, doc_id, key_a,
+    key_b), each from its document; the shingles are sorted uint64 as bytes."""
 
-    bits = hash_filter(wanted.select(F.xxhash64("rep").alias("hash")), "hash")
+    bits = hash_filter(wanted.select(F.xxhash64("doc_id").alias("hash")), "hash")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,19 +152,23 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             sets = _sets(batch)
+            keys = [_set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    pa.array([a for a, _ in keys], pa.int64()),
+                    pa.array([b for _, b in keys], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                ["rep", "n", "registers", "shingles"],
+                ["doc_id", "key_a", "key_b", "n", "registers", "shingles"],
             )
 
     hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("__hash"))
-    sets = hashed.mapInArrow(run, f"rep {_kind(docs)}, n long, registers binary, shingles binary")
-    return sets.join(wanted, "rep", "left_semi")
+    schema = f"doc_id {_kind(docs)}, key_a long, key_b long, n long, registers binary, shingles binary"
+    sets = hashed.mapInArrow(run, schema).join(wanted, ["doc_id", "key_a", "key_b"])
+    return sets.select("rep", "n", "registers", "shingles")
 
 
 def _possible(na: F.Column, nb: F.Column) -> F.Column:
@@ -278,7 +288,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     own = bands(classes)
     shared = own.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(own.join(shared, "bucket"))
-    sets = stored(full_sets(docs, members.select("rep").distinct()))
+    wanted = classes.select("rep", "doc_id", "key_a", "key_b").join(members.select("rep"), "rep", "left_semi")
+    sets = stored(full_sets(docs, wanted))
     large = members.where(F.col("size") > SMALL)
     few = members.where(F.col("size") <= SMALL)
     if large.isEmpty():
@@ -363,30 +374,49 @@ def _intersections(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document row."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, label and component_id of every document
+    row; the label tells groups apart and is null where a row is alone by rule."""
     found = stored(sketches(docs))
-    keyed = found.where("n_shingles > 0")
-    classes = stored(
-        keyed.groupBy("key_a", "key_b").agg(
-            F.min("doc_id").alias("rep"),
-            F.first("n_shingles").alias("n"),
-            F.first("registers").alias("registers"),
-        )
+    own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    keyed = found.where(own)
+    classes = keyed.groupBy("key_a", "key_b").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.first("n_shingles").alias("n"),
+        F.first("registers").alias("registers"),
     )
+    # An id can name several classes; their numbers are fixed once written.
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
     labels = components(links(docs, classes))
-    named = classes.join(labels, "rep", "left").select(
-        "key_a", "key_b", F.coalesce("label", "rep").alias("component_id")
-    )
-    grouped = keyed.join(named, ["key_a", "key_b"]).select("doc_id", "n_shingles", "component_id")
-    alone = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.join(labels, "rep", "left").select("key_a", "key_b", "doc_id", F.coalesce("label", "rep").alias("label"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = named.drop("doc_id").join(least, "label")
+    columns = ["doc_id", "text_key", "n_shingles", "label", "component_id"]
+    alone = found.where(~own).withColumns({"label": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return keyed.join(named, ["key_a", "key_b"]).select(columns).unionByName(alone.select(columns))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every document row."""
+    rows = grouped(docs).select("doc_id", "n_shingles", "component_id")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def surplus(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, stays) of the rows that go, for ``without_rows``."""
+    rows = stored(grouped(docs))
+    others = rows.where("doc_id != component_id").select("doc_id", "text_key").distinct()
+    heads = rows.where("doc_id = component_id").groupBy("doc_id", "label", "text_key").agg(F.count("*").alias("times"))
+    least = F.min("text_key").over(Window.partitionBy("doc_id", "label"))
+    heads = heads.withColumn("stays", F.col("label").isNull() | (F.col("text_key") == least))
+    heads = heads.where(~F.col("stays") | (F.col("times") > 1)).select("doc_id", "text_key", "stays")
+    return heads.unionByName(others.withColumn("stays", F.lit(False)))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; a document without words stays."""
-    return without_ids(docs, near_duplicates(docs).where("not kept").select("doc_id"))
+    """One row of each group; a document without words or without id stays."""
+    return without_rows(docs, surplus(docs))

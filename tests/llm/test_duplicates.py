@@ -64,6 +64,18 @@ def test_stage_keeps_one_of_each_group(spark, frame):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == want
 
 
+def test_stage_removes_rows_and_not_ids(spark, frame):
+    copied, reused, other, alone = (" ".join(f"{w}{k}" for k in range(40)) for w in "abcd")
+    rows = [(None, copied), (None, alone), (None, alone), (1, copied), (1, copied), (2, copied), (7, "")]
+    rows += [(4, reused), (5, reused), (5, other), (6, other), (7, ""), (8, other + " "), (8, alone), (8, alone + " ")]
+    want = [(None, copied), (None, alone), (None, alone), (1, copied), (7, ""), (4, reused), (5, other)]
+    kept = [(r["doc_id"], r["text"]) for r in N.near_dedup_stage(spark, frame(rows), "").collect()]
+    assert len(kept) == len(want) + 1 and sum(r in ((8, alone), (8, alone + " ")) for r in kept) == 1
+    assert sorted(map(repr, (r for r in kept if r[0] != 8))) == sorted(map(repr, want))
+    named = {(r["doc_id"], r["component_id"]) for r in N.near_duplicates(frame(rows)).collect()}
+    assert named == {(None, None), (1, 1), (2, 1), (4, 4), (5, 4), (5, 5), (6, 5), (7, 7), (8, 5), (8, 8)}
+
+
 def test_empty_tables(spark, frame):
     empty = frame([(1, "x")]).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
