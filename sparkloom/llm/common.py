@@ -102,14 +102,6 @@ def split_by_ids(rows: DataFrame, ids: DataFrame, *columns: str) -> tuple[DataFr
     return part(True), part(False)
 
 
-def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Rows whose id is not among the ids; only rows in doubt are shuffled."""
-    ids = stored(ids.select(column).distinct())
-    doubt, clear = split_by_ids(rows, ids, column)
-    listed = ids.select(F.col(column).alias("__id"))
-    return clear.unionByName(doubt.join(listed, doubt[column].eqNullSafe(listed["__id"]), "left_anti"))
-
-
 def text_key() -> Column:
     """A 64-bit hash of ``text``, to tell rows of one doc_id apart."""
     return F.xxhash64("text")

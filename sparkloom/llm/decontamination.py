@@ -14,8 +14,10 @@ only a block's windows and vocabulary are broadcast.
 Defined results: null has no words; a document without words has n_words 0 and
 no hits; an item without words has no window; repeated documents are judged
 alike and keep their rows, repeated items count once; without items nothing is
-contaminated, and the digest of no items is that of the empty string. Extra
-columns are ignored.
+contaminated, and the digest of no items is that of the empty string. The
+pipeline stage removes the contaminated rows alone, told apart by doc_id and
+text; clean rows of the same doc_id, or without one, stay. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stored, table, without_ids
-from .kernels import mix64, word_hashes
+from .common import as_bytes, slices, stored, table, text_key, without_rows
+from .kernels import word_hashes
 
 WINDOW = 10
 #: Words of the query set that one block holds on average.
@@ -117,11 +118,10 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
             by_term = np.argsort(at[known], kind="stable")
             found, counts = np.unique(at[known], return_counts=True)
             positions = (known + GAP * text_no[known])[by_term].astype("<i4")
-            keys = mix64(np.array([hash_of(t) for t in texts], dtype=np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column("doc_id")),
-                    pa.array([keys.tolist()], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column("text_key")),
                     pa.array([n_words.tolist()], pa.list_(pa.int64())),
                     pa.array([found.tolist()], pa.list_(pa.int32())),
                     pa.array([counts.tolist()], pa.list_(pa.int64())),
@@ -135,12 +135,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
         f"doc_ids array<{kind}>, text_keys array<long>, n_words array<long>,"
         " terms array<int>, counts array<long>, positions binary"
     )
-    return docs.select("doc_id", "text").mapInArrow(segments, schema)
-
-
-def hash_of(text: bytes) -> int:
-    """A stable 64-bit key of a text, to tell rows of one doc_id apart."""
-    return xxhash.xxh64_intdigest(text)
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(segments, schema)
 
 
 def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -293,6 +288,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window; an id goes with any of its rows."""
+    """Document rows without a benchmark window."""
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.where("contaminated").select("doc_id"))
+    listed = found.where("contaminated").select("doc_id", "text_key").distinct()
+    return without_rows(docs, listed.withColumn("stays", F.lit(False)))

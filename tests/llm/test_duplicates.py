@@ -221,3 +221,15 @@ def test_null_ids_do_not_escape(spark, frame):
     bench = spark.createDataFrame([(1, "w0 w1 w2")], "item_id long, text string")
     hit = B.contamination(docs, bench).where("contaminated").collect()
     assert [r["doc_id"] for r in hit] == [None]
+
+
+@pytest.mark.parametrize("block", [2_000_000, 1])
+def test_stage_keeps_clean_rows_of_an_id(spark, frame, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(B, "BLOCK_WORDS", block)
+    bench = [(1, "w0 w1 w2"), (2, "v0 v1 v2"), (3, "u0 u1")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(None, "nothing here"), (None, None), (5, "other"), (5, "other"), (6, "")]
+    docs = frame([*clean, (None, "so w0 w1 w2"), (5, "V0 v1 v2"), (7, "u0 u1"), (7, "u0 u1")])
+    out = B.decontamination_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, clean))
