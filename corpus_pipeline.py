@@ -7,6 +7,8 @@ is packed into training sequences.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.common import stored, table
@@ -16,10 +18,14 @@ from sparkloom.llm.near_dedup import near_dedup_stage
 from sparkloom.llm.pseudonyms import pseudonym_stage
 from sparkloom.llm.sequence_packing import packing_stage
 
+#: Percent of common shingles from which two texts count as near copies here; the
+#: op5 query takes 85.
+NEAR_PERCENT = 80
+
 #: (name, function of (spark, docs, sf_dir)); all but the last return documents.
 STAGES = [
     ("quality rules", quality_stage),
-    ("near-duplicate removal", near_dedup_stage),
+    ("near-duplicate removal", partial(near_dedup_stage, percent=NEAR_PERCENT)),
     ("benchmark decontamination", decontamination_stage),
     ("pseudonyms", pseudonym_stage),
     ("sequence packing", packing_stage),

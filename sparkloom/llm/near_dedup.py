@@ -4,8 +4,9 @@ A document's set holds the hashes of its distinct 5-word shingles (64 bits; the
 words lower-cased in A-Z only). Documents with equal sets form a class, and one
 row per class goes on. For each of 252 buckets a sketch keeps the minimum of a
 keyed hash, compressed to the count of its leading zeros (6 bits) and 10
-mantissa bits. 36 bands of 7 registers make candidates: a pair at the threshold
-misses all bands with a chance below one in a million.
+mantissa bits. Bands of registers make candidates, and the threshold sets them: at
+85 % 36 bands of 7, at 80 % 42 bands of 6. A pair at the threshold misses all bands
+with a chance of 0.9 (85 %) or 2.9 (80 %) in a million.
 
 * A band bucket of up to SMALL classes gives all its pairs.
 * A larger one gives a star around its most typical class; then what is still
@@ -46,10 +47,11 @@ from .common import as_bytes, hash_filter, may_be_in, slices, stored, table, tex
 from .kernels import LOWER, mix64, shingle_sets
 
 SHINGLE = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; this is the default.
 PERCENT = 85
-BANDS, ROWS = 36, 7
-REGISTERS = BANDS * ROWS
+REGISTERS = 252
+#: Chance that a pair at the threshold may miss all bands.
+MISSED = 5e-6
 MANTISSA_BITS = 10
 SMALL = 16
 #: Members of a large bucket that one task compares with each other.
@@ -119,19 +121,29 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, schema)
 
 
-def bands(classes: DataFrame) -> DataFrame:
-    """(bucket, rep, n): 36 rows for each class."""
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands of all registers that miss a pair at the
+    threshold with a chance of at most MISSED; single registers miss the least."""
+    for rows in range(REGISTERS, 1, -1):
+        if REGISTERS % rows == 0 and (1 - (percent / 100) ** rows) ** (REGISTERS // rows) <= MISSED:
+            return REGISTERS // rows, rows
+    return REGISTERS, 1
+
+
+def bands(classes: DataFrame, percent: int) -> DataFrame:
+    """(bucket, rep, n): one row for each band of each class."""
+    n_bands, n_rows = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = mix64(np.arange(3, 3 + ROWS, dtype=np.uint64)) | np.uint64(1)
-        number = mix64(np.arange(101, 101 + BANDS, dtype=np.uint64))
+        weight = mix64(np.arange(3, 3 + n_rows, dtype=np.uint64)) | np.uint64(1)
+        number = mix64(np.arange(101, 101 + n_bands, dtype=np.uint64))
         for batch in batches:
             if not batch.num_rows:
                 continue
             found = np.frombuffer(b"".join(batch.column("registers").to_pylist()), dtype=np.uint16)
-            parts = found.reshape(-1, BANDS, ROWS).astype(np.uint64)
+            parts = found.reshape(-1, n_bands, n_rows).astype(np.uint64)
             keys = mix64((parts * weight).sum(axis=2, dtype=np.uint64) ^ number).view(np.int64)
-            ends = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
+            ends = pa.array(np.arange(0, keys.size + 1, n_bands), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), lists], ["rep", "n", "keys"])
 
@@ -171,14 +183,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.select("rep", "n", "registers", "shingles")
 
 
-def _possible(na: F.Column, nb: F.Column) -> F.Column:
+def _possible(na: F.Column, nb: F.Column, percent: int) -> F.Column:
     """Sizes that allow the threshold."""
-    return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) whose estimated similarity may reach the threshold."""
-    least = PERCENT / 100 - 6 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
+    least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,12 +210,12 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .distinct()
         .join(own.toDF("a", "na", "ra"), "a")
         .join(own.toDF("b", "nb", "rb"), "b")
-        .where(_possible(F.col("na"), F.col("nb")))
+        .where(_possible(F.col("na"), F.col("nb"), percent))
     )
     return rows.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that are links on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +224,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     own = sets.select("rep", "shingles")
@@ -267,25 +279,25 @@ def _shared_counts(large: DataFrame, sets: DataFrame) -> DataFrame:
     return reps.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def _within_reach() -> F.Column:
+def _within_reach(percent: int) -> F.Column:
     """What two members of large buckets share is at most the lesser ``shared``
     count; true unless that rules the threshold out."""
     most = F.when(F.col("ca").isNotNull() & F.col("cb").isNotNull(), F.least("ca", "cb"))
-    return F.coalesce((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")), F.lit(True))
+    return F.coalesce((100 + percent) * most >= percent * (F.col("na") + F.col("nb")), F.lit(True))
 
 
-def _bucket_pairs(members: DataFrame) -> DataFrame:
+def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of (bucket, rep, n, shared) rows that meet in a bucket and are
     not ruled out."""
     x = members.select("bucket", "rep", "n", "shared").toDF("bucket", "a", "na", "ca")
     y = members.select("bucket", "rep", "n", "shared").toDF("bucket", "b", "nb", "cb")
-    ordered = (F.col("a") < F.col("b")) & _possible(F.col("na"), F.col("nb"))
-    return x.join(y, "bucket").where(ordered & _within_reach()).select("a", "b")
+    ordered = (F.col("a") < F.col("b")) & _possible(F.col("na"), F.col("nb"), percent)
+    return x.join(y, "bucket").where(ordered & _within_reach(percent)).select("a", "b")
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect all near-duplicate classes."""
-    own = bands(classes)
+    own = bands(classes, percent)
     shared = own.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(own.join(shared, "bucket"))
     wanted = classes.select("rep", "doc_id", "key_a", "key_b").join(members.select("rep"), "rep", "left_semi")
@@ -293,29 +305,30 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     large = members.where(F.col("size") > SMALL)
     few = members.where(F.col("size") <= SMALL)
     if large.isEmpty():
-        pairs = _bucket_pairs(few.withColumn("shared", F.lit(None).cast("long")))
-        return stored(confirmed(likely(pairs, sets), sets))
+        pairs = _bucket_pairs(few.withColumn("shared", F.lit(None).cast("long")), percent)
+        return stored(confirmed(likely(pairs, sets, percent), sets, percent))
 
     counts = stored(_shared_counts(large, sets))
-    pairs = _bucket_pairs(few.join(counts, "rep", "left"))
-    large = stored(large.join(counts, "rep").where(100 * F.col("shared") >= PERCENT * F.col("n")))
+    pairs = _bucket_pairs(few.join(counts, "rep", "left"), percent)
+    large = stored(large.join(counts, "rep").where(100 * F.col("shared") >= percent * F.col("n")))
     order = F.struct(F.col("n") - F.col("shared"), "rep")
     centre = large.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "shared"), order).alias("c"))
     star = large.join(centre, "bucket").select(
         F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"),
         F.col("n").alias("na"), F.col("c.n").alias("nb"), F.col("shared").alias("ca"), F.col("c.shared").alias("cb"),
     )
-    star = star.where((F.col("a") != F.col("b")) & _possible(F.col("na"), F.col("nb")) & _within_reach()).select("a", "b")
-    first = stored(confirmed(likely(pairs.unionByName(star), sets), sets))
+    possible = _possible(F.col("na"), F.col("nb"), percent) & _within_reach(percent)
+    star = star.where((F.col("a") != F.col("b")) & possible).select("a", "b")
+    first = stored(confirmed(likely(pairs.unionByName(star), sets, percent), sets, percent))
 
     labels = components(first)
     named = large.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows"))
     rest = named.select("bucket", "rep", "label").join(split.where("lo != hi").select("bucket", "rows"), "bucket")
-    return first.unionByName(stored(links_in_groups(rest, sets)))
+    return first.unionByName(stored(links_in_groups(rest, sets, percent)))
 
 
-def links_in_groups(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def links_in_groups(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join different labels among the members of each bucket.
 
     A group is a bucket, or a pair of parts of a bucket of more than GROUP rows.
@@ -337,7 +350,7 @@ def links_in_groups(rest: DataFrame, sets: DataFrame) -> DataFrame:
         labels = np.unique(group.column("label").to_numpy(), return_inverse=True)[1]
         both = _intersections(found)
         size = np.array([len(x) for x in found])
-        linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
         linked &= labels[:, None] < labels[None, :]
         root = np.arange(labels.max() + 1)
         kept: tuple[list[int], list[int]] = ([], [])
@@ -374,7 +387,7 @@ def _intersections(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles, label and component_id of every document
     row; the label tells groups apart and is null where a row is alone by rule."""
     found = stored(sketches(docs))
@@ -387,7 +400,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     )
     # An id can name several classes; their numbers are fixed once written.
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
-    labels = components(links(docs, classes))
+    labels = components(links(docs, classes, percent))
     named = classes.join(labels, "rep", "left").select("key_a", "key_b", "doc_id", F.coalesce("label", "rep").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.drop("doc_id").join(least, "label")
@@ -396,9 +409,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     return keyed.join(named, ["key_a", "key_b"]).select(columns).unionByName(alone.select(columns))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document row."""
-    rows = grouped(docs).select("doc_id", "n_shingles", "component_id")
+    rows = grouped(docs, percent).select("doc_id", "n_shingles", "component_id")
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -406,9 +419,9 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def surplus(docs: DataFrame) -> DataFrame:
+def surplus(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, text_key, stays) of the rows that go, for ``without_rows``."""
-    rows = stored(grouped(docs))
+    rows = stored(grouped(docs, percent))
     others = rows.where("doc_id != component_id").select("doc_id", "text_key").distinct()
     heads = rows.where("doc_id = component_id").groupBy("doc_id", "label", "text_key").agg(F.count("*").alias("times"))
     least = F.min("text_key").over(Window.partitionBy("doc_id", "label"))
@@ -417,6 +430,6 @@ def surplus(docs: DataFrame) -> DataFrame:
     return heads.unionByName(others.withColumn("stays", F.lit(False)))
 
 
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = PERCENT) -> DataFrame:
     """One row of each group; a document without words or without id stays."""
-    return without_rows(docs, surplus(docs))
+    return without_rows(docs, surplus(docs, percent))

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+import corpus_pipeline as C
 from sparkloom.llm import decontamination as B
 from sparkloom.llm import near_dedup as N
 from sparkloom.llm import repeat_removal as R
@@ -76,6 +77,21 @@ def test_stage_removes_rows_and_not_ids(spark, frame):
     assert named == {(None, None), (1, 1), (2, 1), (4, 4), (5, 4), (5, 5), (6, 5), (7, 7), (8, 5), (8, 8)}
 
 
+def test_thresholds(spark, frame):
+    base = [f"w{k}" for k in range(104)]
+    rows = [(1, " ".join(base))]
+    for i, edits in ((3, 2), (5, 20)):  # 90 of 110 and 0 of 200 shingles in common
+        own = list(base)
+        for e in range(edits):
+            own[4 + e * 5] = f"e{i}_{e}"
+        rows.append((i, " ".join(own)))
+    found = {p: [r["component_id"] for r in N.near_duplicates(frame(rows), p).orderBy("doc_id").collect()] for p in (80, 85)}
+    assert found == {80: [1, 1, 5], 85: [1, 3, 5]}
+    stage = dict(C.STAGES)["near-duplicate removal"]
+    assert {r["doc_id"] for r in stage(spark, frame(rows), "").collect()} == {1, 5}
+    assert N.banding(85) == (36, 7) and N.banding(80) == (42, 6)
+
+
 def test_empty_tables(spark, frame):
     empty = frame([(1, "x")]).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
