@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -31,17 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A local folder is made only where the setting is absent, as in tests.
-    """
+    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return path
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs no recomputation of what came before."""
@@ -52,29 +55,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a hash filter: 8 MB, whatever the number of hashes.
-FILTER_BITS = 1 << 26
+#: Bits of a hash filter for each hash, and the fewest and most of all (128 MB).
+FILTER_BITS, FEWEST_BITS, MOST_BITS = 16, 1 << 23, 1 << 30
 
 
 def hash_filter(hashes: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of fixed size of a column of 64-bit hashes, summed up in
+    """A Bloom filter of bounded size of a column of 64-bit hashes, summed up in
     Spark. It never misses a hash; with more of them than it is good for, it lets
     more others through."""
-    h, most = F.col(column), F.lit(FILTER_BITS - 1)
-    places = F.array(h.bitwiseAND(most), F.shiftrightunsigned(h, 26).bitwiseAND(most))
+    wanted = min(MOST_BITS, max(FEWEST_BITS, FILTER_BITS * hashes.count()))
+    size = 1 << (wanted - 1).bit_length()
+    h, most = F.col(column), F.lit(size - 1)
+    places = F.array(h.bitwiseAND(most), F.shiftrightunsigned(h, 32).bitwiseAND(most))
     words = hashes.select(F.explode(places).alias("bit")).select(
         F.expr("bit div 64").cast("int").alias("word"), F.expr("shiftleft(1L, int(bit % 64))").alias("mask")
     )
     summed = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits = np.zeros(size // 64, dtype=np.int64)
     bits[summed.column("word").to_numpy()] = summed.column("mask").to_numpy()
     return bits
 
 
 def may_be_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes the filter lets through."""
-    found = np.full(len(hashes), True)
-    for place in (hashes & (FILTER_BITS - 1), (hashes >> 26) & (FILTER_BITS - 1)):
+    found, most = np.full(len(hashes), True), len(bits) * 64 - 1
+    for place in (hashes & most, (hashes >> 32) & most):
         found &= (bits[place >> 6] >> (place & 63)) & 1 == 1
     return found
 
@@ -89,12 +94,13 @@ def split_by_ids(rows: DataFrame, ids: DataFrame, *columns: str) -> tuple[DataFr
     columns = columns or ("doc_id",)
     bits = hash_filter(ids.select(F.xxhash64(*columns).alias("hash")), "hash")
     shared = rows.sparkSession.sparkContext.broadcast(bits)
-    hashed, names = rows.withColumn("__hash", F.xxhash64(*columns)), rows.columns
+    names, mark = rows.columns, fresh(rows, "hash")
+    hashed = rows.withColumn(mark, F.xxhash64(*columns))
 
     def part(inside: bool) -> DataFrame:
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = may_be_in(shared.value, batch.column("__hash").to_numpy())
+                found = may_be_in(shared.value, batch.column(mark).to_numpy())
                 yield batch.select(names).filter(pa.array(found == inside))
 
         return hashed.mapInArrow(pick, rows.schema)
@@ -111,21 +117,22 @@ def without_rows(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """Rows of ``docs`` without those that ``listed`` names by (doc_id, text_key,
     stays): all rows of that id and text go, or all but one where ``stays``. A
     null id is compared like any other; only rows in doubt are shuffled."""
-    listed = stored(listed.select("doc_id", F.col("text_key").alias("__text_key"), "stays"))
-    keyed = docs.withColumn("__text_key", text_key())
-    doubt, clear = split_by_ids(keyed, listed, "doc_id", "__text_key")
-    own = listed.toDF("__id", "__key", "stays")
-    same = doubt["doc_id"].eqNullSafe(own["__id"]) & (doubt["__text_key"] == own["__key"])
+    key = fresh(docs, "text_key")
+    listed = stored(listed.select("doc_id", F.col("text_key").alias(key), "stays"))
+    doubt, clear = split_by_ids(docs.withColumn(key, text_key()), listed, "doc_id", key)
+    own = listed.toDF("own_id", "own_key", "own_stays")
+    same = doubt["doc_id"].eqNullSafe(own["own_id"]) & doubt[key].eqNullSafe(own["own_key"])
     out = clear.unionByName(doubt.join(own, same, "left_anti"))
-    one = own.where("stays")
+    one = own.where("own_stays")
     if not one.isEmpty():
-        out = out.unionByName(doubt.join(one, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]))
-    return out.drop("__text_key")
+        out = out.unionByName(doubt.join(one, same, "left_semi").dropDuplicates(["doc_id", key]))
+    return out.drop(key)
 
 
 def fold(doc_id: Column) -> Column:
-    """crc32 of the id as text, modulo 4; remainder 2 is held out."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4
+    """crc32 of the id as text, modulo 4; remainder 2 is held out (a null id
+    counts as remainder 0)."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0))
 
 
 def clean_labels(labels: DataFrame, column: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Packing documents into sequences of bounded length by swap local search.
 
-A task tokenises whole texts and emits one small row per piece. Pieces are
-dealt by hash into groups of bounded size, each packed in one task: a best-fit
+A task tokenises whole texts and emits one small row per piece; the rows are
+written once. They are dealt by row number, whatever their ids, into groups of
+bounded size, each packed in one task: a best-fit
 start, then a local search between underfull bins. The emptiest bin gives: it
 moves a piece to another bin, exchanges one of its pieces for a smaller one, or
 two of its pieces for one, whenever that raises the sum of squared fills, until
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import as_bytes, slices, stored, table
 from .tokens import Encoder, cut
 
 CAPACITY = 1024
@@ -42,8 +43,7 @@ def piece_table(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         encode = Encoder()
         for batch in slices(batches, "text"):
             rows, of = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode(text or "")
+            for k, ids in enumerate(encode(as_bytes(batch.column("text")))):
                 for piece, (start, n) in enumerate(cut(len(ids), capacity)):
                     of.append(k)
                     rows.append((piece, start, n, zlib.crc32(ids[start : start + n].tobytes())))
@@ -178,13 +178,14 @@ def _packed(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return rows.assign(number=number, offset=offset, fill=fill)
 
 
-def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset; groups of about GROUP_PIECES.
 
     The second round takes only the pieces of underfull sequences (at most a
-    fixed share of each group's bins) in groups of the same size.
+    fixed share of each group's bins) in groups of the same size. Rows are read
+    from where they were written, so that their numbers hold if a task runs
+    again.
     """
-    first = max(1, -(-n_docs // GROUP_PIECES))
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
     out = f"{own}, group_no long, number long, offset long, fill long"
 
@@ -192,17 +193,19 @@ def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY) -> Dat
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             return _packed(pdf, capacity)
 
-        key = F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(groups))
+        key = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(salt)), F.lit(groups))
         return rows.withColumn("group_no", key).groupBy("group_no").applyInPandas(run, out)
 
+    pieces = stored(pieces)
+    first = max(1, -(-pieces.count() // GROUP_PIECES))
     done = grouped(pieces, first, 1)
     if first == 1:
         return _numbered(done, 0)
     done = stored(done)
-    again = done.where(F.col("fill") < capacity)
+    again = stored(done.where(F.col("fill") < capacity).select(pieces.columns))
     second = max(1, -(-again.count() // GROUP_PIECES))
-    redone = grouped(again.drop("group_no", "number", "offset", "fill"), second, 2)
-    return _numbered(done.where(F.col("fill") == capacity), 0).unionByName(_numbered(redone, 1))
+    full = done.where(F.col("fill") == capacity)
+    return _numbered(full, 0).unionByName(_numbered(grouped(again, second, 2), 1))
 
 
 def _numbered(packed: DataFrame, part: int) -> DataFrame:
@@ -212,7 +215,7 @@ def _numbered(packed: DataFrame, part: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    return pack_pieces(piece_table(docs, capacity), docs.count(), capacity)
+    return pack_pieces(piece_table(docs, capacity), capacity)
 
 
 def op4_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Binary training sequences: packed id matrices with their segment bounds.
 
 Whole texts are tokenised once; overlong documents are cut without loss. The
-pieces, ids included, are dealt by hash into groups of bounded bytes, and each
-group is packed by best-fit decreasing: a segment tree over the amounts of room
+pieces, ids included, are dealt by row number, whatever their doc_id, into groups
+of bounded bytes, and each group is packed by best-fit decreasing: a segment tree over the amounts of room
 finds the open sequence with the least room that still fits. One row is one row
 of the id matrix, with the cumulative segment lengths and the positions that
 restart at every segment.
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import as_bytes, slices, table
 from .tokens import Encoder, cut
 
 CAPACITY = 1024
 #: Bytes of text that one group of pieces comes from, on average.
 GROUP_BYTES = 8 << 20
+#: Shuffle partitions that groups are dealt over at most.
+PARTITIONS = 50_000
 #: Ids are written as little-endian unsigned 16-bit numbers (vocabulary < 65536).
 ID_TYPE = "<u2"
 PAD = 0
@@ -89,8 +91,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         encode = Encoder()
         for batch in slices(batches, "text"):
             of, piece, start, length, ids = [], [], [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                found = encode(text or "").astype(ID_TYPE)
+            for k, whole in enumerate(encode(as_bytes(batch.column("text")))):
+                found = whole.astype(ID_TYPE)
                 for p, (s, n) in enumerate(cut(len(found), capacity)):
                     of.append(k)
                     piece.append(p)
@@ -169,8 +171,9 @@ def packed_sequences(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
-    group = F.pmod(F.xxhash64("doc_id", "piece", F.lit(3)), F.lit(groups))
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(3)), F.lit(groups))
     dealt = token_pieces(docs, capacity).withColumn("group_no", group)
+    dealt = dealt.repartition(min(groups, PARTITIONS), "group_no")
     return dealt.groupBy("group_no").applyInArrow(lambda t: _rows(t, capacity), schema)
 
 

@@ -1,59 +1,144 @@
 """Token ids of whole texts with the public byte-level BPE vocabulary.
 
-Two libraries read the same vocabulary. The rank-file encoder is about three
-times as fast and gives the same ids; a text with characters outside
-Windows-1252, where the two might class a character differently, goes through
-the reference encoder of the JSON file. Marker strings such as
-``<|endoftext|>`` in a text are ordinary text.
+All ids come from the ``tokenizers`` library with its default settings. Texts
+repeat their words, so a batch is cut where no token can reach across, each
+distinct chunk is encoded once, and a bounded memory of chunks is kept in the
+task. The cuts:
+
+* before a single space or line feed between two characters that are not white
+  space (a token holds white space only as its first character or throughout),
+  and after such a line feed;
+* between a letter or digit and one of ``,.!?;:``.
+
+Only characters whose class is beyond doubt count as such neighbours; all else
+stays inside its chunk. A text with a special token is encoded as a whole.
 """
 
 from __future__ import annotations
 
-import base64
+import os
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
-import tiktoken
 from tokenizers import Tokenizer
 
+from .kernels import RangeHasher
+
 JSON_FILE = "byte_bpe_50k.json"
-RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Fixed value: the id that ends every document.
 END = 2
+#: Chunks that a task remembers, and the longest of them in bytes.
+REMEMBERED = 400_000
+LONGEST = 48
+
+
+def tokenizer_of(name: str = JSON_FILE) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def _table(*parts: bytes | range) -> np.ndarray:
+    found = np.zeros(256, dtype=bool)
+    for part in parts:
+        found[list(part)] = True
+    return found
+
 
+_PLAIN = _table(range(0x21, 0x7F))
+#: First bytes of two-byte characters from U+00C0; none of these is white space.
+_LEAD = _table(range(0xC3, 0xE0))
+_LETTER = _table(range(0x30, 0x3A), range(0x41, 0x5B), range(0x61, 0x7B))
+_MARK = _table(b",.!?;:")
 
-def reference_tokenizer(name: str = JSON_FILE) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+
+def chunk_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where chunks start in texts laid end to end (``first``: their starts)."""
+    here = np.zeros(len(data) + 2, dtype=np.uint8)  # one byte more on each side
+    here[1:-1] = data
+    before, after = here[:-2], here[2:]
+    lead = np.zeros(len(data), dtype=bool)  # the byte before ends a character from U+00C0 to U+07FF
+    lead[2:] = _LEAD[data[:-2]]
+    solid_before, solid_after = _PLAIN[before] | lead, _PLAIN[after] | _LEAD[after]
+    line = (data == 0x0A) & solid_before & solid_after
+    letter = _LETTER[before] | (lead & (before != 0x97) & (before != 0xB7))
+    letter[2:] &= _PLAIN[before[2:]] | (data[:-2] == 0xC3)
+    cut = line | ((data == 0x20) & solid_before & solid_after) | (_MARK[data] & letter)
+    cut[1:] |= line[:-1]
+    cut[first[first < len(data)]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Encodes one text at a time; made once in each task."""
-
-    def __init__(self, json_file: str = JSON_FILE, rank_file: str = RANK_FILE) -> None:
-        self._json_file, self._slow = json_file, None
-        with open(public_tokenizers.path(rank_file), "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._fast = tiktoken.Encoding(
-            "public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-
-    def __call__(self, text: str) -> np.ndarray:
-        """uint32 ids of the text, then the id that ends a document."""
-        try:
-            text.encode("cp1252")
-        except UnicodeEncodeError:
-            if self._slow is None:
-                self._slow = reference_tokenizer(self._json_file)
-            ids = self._slow.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self._fast.encode_ordinary(text)
-        out = np.empty(len(ids) + 1, dtype="<u4")
-        out[:-1] = ids
-        out[-1] = END
+    """Encodes batches of texts; made once in each task."""
+
+    def __init__(self, json_file: str = JSON_FILE) -> None:
+        self._tokenizer = tokenizer_of(json_file)
+        self._special = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._with_space = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
+        for token, k in self._tokenizer.get_vocab().items():
+            self._with_space[k] = token.startswith("Ġ")
+        self._held: dict[bytes, list[int]] = {}
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        return [e.ids for e in self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+
+    def _chunk_ids(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of distinct chunks. Unseen ones that begin with their only space
+        are encoded side by side: each of them has one token with a space."""
+        held = self._held
+        if len(held) > REMEMBERED:
+            held.clear()
+        unseen = [c for c in chunks if c not in held]
+        joined = [c for c in unseen if c[0] == 0x20 and c.rfind(b" ") == 0 and len(c) <= LONGEST]
+        found = dict(zip(joined, self._side_by_side(joined))) if joined else {}
+        rest = [c for c in unseen if c not in found]
+        found.update(zip(rest, self._ids(rest)))
+        out = [found[c] if c in found else held[c] for c in chunks]
+        held.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
         return out
 
+    def _side_by_side(self, chunks: list[bytes]) -> list[list[int]]:
+        ids = self._ids([b"".join(chunks)])[0]
+        at = np.flatnonzero(self._with_space[ids]).tolist()
+        if len(at) != len(chunks):
+            return self._ids(chunks)
+        return [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)])]
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """For each text its uint32 ids, then the id that ends a document."""
+        whole = {k: t for k, t in enumerate(texts) if any(s in t for s in self._special)}
+        out = self._cut([b"" if k in whole else t for k, t in enumerate(texts)])
+        for k, ids in zip(whole, self._ids(list(whole.values()))):
+            out[k] = np.array([*ids, END], dtype="<u4")
+        return out
+
+    def _cut(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        first = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        start = chunk_starts(data, first[:-1])
+        end = np.append(start[1:], len(data))[: len(start)]
+        of_text = np.searchsorted(start, first)
+        if not len(start):
+            return [np.array([END], dtype="<u4") for _ in texts]
+        _, one, of = np.unique(RangeHasher(data)(start, end), return_index=True, return_inverse=True)
+        # equal hashes are confirmed on the bytes
+        size, back = end - start, start[one][of] - start
+        if (size != size[one][of]).any() or (data[np.arange(len(data)) + np.repeat(back, size)] != data).any():
+            return [np.array([*x, END], dtype="<u4") for x in self._ids(texts)]
+        joined = b"".join(texts)
+        found = self._chunk_ids([joined[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())])
+        count = np.array([len(x) for x in found], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(count.sum()))
+        at = np.cumsum(count) - count
+        n = count[of]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.arange(ends[-1]) + np.repeat(at[of] - ends[:-1], n)]
+        bounds = ends[of_text].tolist()
+        tail = np.array([END], dtype="<u4")
+        return [np.concatenate((ids[a:b], tail)) for a, b in zip(bounds, bounds[1:])]
+
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: one piece if it
