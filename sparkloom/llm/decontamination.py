@@ -1,23 +1,25 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is a table of segments, each the postings of some megabytes of whole
-texts: for every query term its ascending word positions. It is written to the
-shared folder once. Term frequencies over all segments order the terms of each
-query window; a search starts from the postings of the rarest term and
-intersects the lists of the others, shifted by their offsets. With ``slop`` 0
-that finds exact phrases, otherwise every term may stand up to ``slop`` words
-away from its place.
-
-Query sets are taken in blocks of bounded size, each against the whole corpus;
-only a block's windows and vocabulary are broadcast.
+texts: for every term its ascending word positions. It holds all terms, does not
+depend on the query set, and is written to the shared folder once. A search walks
+the segments: windows with a term that the segment lacks drop out; for the others
+it starts from the postings of the rarest term and intersects the lists of the
+others, shifted by their offsets. Windows are taken a bounded number of
+candidates at a time. With ``slop`` 0 that finds exact phrases, otherwise every
+term may stand up to ``slop`` words away from its place.
+
+The windows of the query set are made in Spark and dealt by their words into
+blocks of bounded size, however long an item is; each block is broadcast and
+searched for in the same index.
 
 Defined results: null has no words; a document without words has n_words 0 and
-no hits; an item without words has no window; repeated documents are judged
-alike and keep their rows, repeated items count once; without items nothing is
-contaminated, and the digest of no items is that of the empty string. The
-pipeline stage removes the contaminated rows alone, told apart by doc_id and
-text; clean rows of the same doc_id, or without one, stay. Extra columns are
-ignored.
+no hits; an item without words has no window; an item without item_id counts
+under an empty id; repeated documents are judged alike and keep their rows,
+repeated items count once; without items nothing is contaminated, and the digest
+of no items is that of the empty string. The pipeline stage removes the
+contaminated rows alone, told apart by doc_id and text; clean rows of the same
+doc_id, or without one, stay. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +36,12 @@ from .common import as_bytes, slices, stored, table, text_key, without_rows
 from .kernels import word_hashes
 
 WINDOW = 10
-#: Words of the query set that one block holds on average.
-BLOCK_WORDS = 2_000_000
+#: (window, item) rows that one block of the query set holds on average.
+BLOCK_WINDOWS = 200_000
 SEGMENT_BYTES = 1 << 20
-#: Free positions between the texts of a segment.
-GAP = 64
+#: Candidate positions that a search holds at a time; one window's rarest list
+#: is taken in parts if it is longer.
+CANDIDATES = 1 << 19
 
 #: A-Z become a-z; all other ASCII but 0-9 and a-z ends a word.
 _WORDS = bytes(
@@ -47,211 +50,243 @@ _WORDS = bytes(
 
 
 def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes([t.translate(_WORDS) for t in texts])
+    words, first = word_hashes([t.translate(_WORDS) for t in texts])
+    return words.view(np.int64), first
+
+
+def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Distinct (terms, item_id) rows: the word hashes of ``window`` words of an
+    item; an item of fewer words is one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SEGMENT_BYTES):
+            hashes, first = _hashed(as_bytes(batch.column("text")))
+            n_words = np.diff(first)
+            short = np.flatnonzero((n_words > 0) & (n_words < window))
+            n = np.maximum(n_words - window + 1, 0)
+            owner = np.repeat(np.arange(len(n)), n)
+            start = first[:-1][owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            full = hashes[start[:, None] + np.arange(window)] if len(start) else hashes[:0]
+            ends = np.concatenate(([0], np.cumsum(np.concatenate([np.full(len(start), window), n_words[short]]))))
+            rest = [hashes[first[k] : first[k] + n_words[k]] for k in short.tolist()]
+            terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([full.ravel(), *rest])))
+            ids = batch.column("item_id").take(pa.array(np.concatenate([owner, short])))
+            yield pa.RecordBatch.from_arrays([terms, ids], ["terms", "item_id"])
+
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    return named.mapInArrow(run, "terms array<long>, item_id string").distinct()
 
 
 @dataclass
 class Queries:
-    """One block of windows. ``terms`` has a row per window, -1 where shorter;
-    ``items`` lists the items of each window between ``item_at`` bounds."""
+    """One block of windows. ``terms`` has a row of places in the vocabulary per
+    window, -1 where shorter; ``items`` lists the items of each window between
+    ``item_at`` bounds, as places in ``names``."""
 
     vocabulary: np.ndarray
     terms: np.ndarray
     item_at: np.ndarray
     items: np.ndarray
     names: list[str]
-    order: np.ndarray | None = None
-
-    def by_rarity(self, frequency: np.ndarray) -> Queries:
-        """Drop windows with a term that occurs nowhere; order terms by count."""
-        count = np.where(self.terms >= 0, frequency[self.terms], np.iinfo(np.int64).max)
-        found = np.flatnonzero((count > 0).all(axis=1))
-        width = np.diff(self.item_at)[found]
-        items = np.concatenate([self.items[self.item_at[w] : self.item_at[w + 1]] for w in found] or [self.items[:0]])
-        return Queries(
-            self.vocabulary,
-            self.terms[found],
-            np.concatenate(([0], np.cumsum(width))),
-            items,
-            self.names,
-            np.argsort(count[found], axis=1, kind="stable"),
-        )
-
-
-def query_block(rows: list[tuple[str, bytes]], window: int = WINDOW) -> Queries:
-    """Windows of ``window`` words of each item; a shorter item is one window."""
-    hashes, first = _hashed([t for _, t in rows])
-    vocabulary = np.unique(hashes)
-    ids = np.searchsorted(vocabulary, hashes).astype(np.int32)
-    names = sorted({name for name, _ in rows})
-    number = {name: k for k, name in enumerate(names)}
-    owners: dict[bytes, set[int]] = {}
-    for (name, _), a, b in zip(rows, first[:-1].tolist(), first[1:].tolist()):
-        for start in range(a, max(b - window, a) + 1) if b > a else ():
-            row = np.full(window, -1, dtype=np.int32)
-            own = ids[start : min(b, start + window)]
-            row[: len(own)] = own
-            owners.setdefault(row.tobytes(), set()).add(number[name])
-    terms = np.frombuffer(b"".join(owners), dtype=np.int32).reshape(-1, window)
-    item_at = np.concatenate(([0], np.cumsum([len(x) for x in owners.values()]))).astype(np.int64)
-    items = np.array([i for x in owners.values() for i in sorted(x)], dtype=np.int64)
-    return Queries(vocabulary, terms, item_at, items, names)
-
-
-def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """Segments of positional postings for the terms of a bounded vocabulary.
-
-    Positions count words; between the texts of a segment GAP positions stay
-    free, so that no match crosses from one text to the next.
+
+
+def query_block(rows: pa.Table, window: int = WINDOW) -> Queries:
+    """From (terms, item_id) rows in which equal terms stand together."""
+    rows = rows.combine_chunks()
+    lists, ids = rows.column("terms").combine_chunks(), rows.column("item_id").combine_chunks().dictionary_encode()
+    flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    vocabulary, places = np.unique(flat, return_inverse=True)
+    size = np.diff(at)
+    terms = np.full((len(size), window), -1, dtype=np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    terms[row, np.arange(len(flat)) - at[row]] = places
+    new = np.ones(len(terms), dtype=bool)
+    new[1:] = (terms[1:] != terms[:-1]).any(axis=1)
+    item_at = np.append(np.flatnonzero(new), len(terms))
+    return Queries(vocabulary, terms[new], item_at, ids.indices.to_numpy(), ids.dictionary.to_pylist())
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """Segments of positional postings of all terms.
+
+    A row holds: the segment's texts (row number, doc_id, text_key, n_words), its
+    terms as ascending 64-bit hashes with their counts, and all positions in the
+    order of the terms, counted in words from the start of the segment.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
         for batch in slices(batches, "text", SEGMENT_BYTES):
-            texts = as_bytes(batch.column("text"))
-            hashes, first = _hashed(texts)
-            n_words = np.diff(first)
-            at = np.minimum(np.searchsorted(terms, hashes), max(0, len(terms) - 1))
-            known = np.flatnonzero(terms[at] == hashes) if len(terms) else at[:0]
-            text_no = np.repeat(np.arange(len(texts)), n_words)
-            by_term = np.argsort(at[known], kind="stable")
-            found, counts = np.unique(at[known], return_counts=True)
-            positions = (known + GAP * text_no[known])[by_term].astype("<i4")
+            hashes, first = _hashed(as_bytes(batch.column("text")))
+            by_term = np.argsort(hashes, kind="stable")
+            terms, counts = np.unique(hashes, return_counts=True)
+            bounds = pa.array([0, batch.num_rows], pa.int32())
+            texts = [pa.ListArray.from_arrays(bounds, batch.column(c)) for c in ("row", "doc_id", "text_key")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column("doc_id")),
-                    pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column("text_key")),
-                    pa.array([n_words.tolist()], pa.list_(pa.int64())),
-                    pa.array([found.tolist()], pa.list_(pa.int32())),
-                    pa.array([counts.tolist()], pa.list_(pa.int64())),
-                    pa.array([positions.tobytes()], pa.binary()),
+                    *texts,
+                    pa.ListArray.from_arrays(bounds, pa.array(np.diff(first), pa.int64())),
+                    pa.array([terms.astype("<i8").tobytes()], pa.binary()),
+                    pa.array([counts.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([by_term.astype("<u4").tobytes()], pa.binary()),
                 ],
-                ["doc_ids", "text_keys", "n_words", "terms", "counts", "positions"],
+                ["rows", "doc_ids", "text_keys", "n_words", "terms", "counts", "positions"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"doc_ids array<{kind}>, text_keys array<long>, n_words array<long>,"
-        " terms array<int>, counts array<long>, positions binary"
+        f"rows array<long>, doc_ids array<{kind}>, text_keys array<long>, n_words array<long>,"
+        " terms binary, counts binary, positions binary"
     )
-    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(segments, schema)
-
-
-def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Occurrences of every term over all segments (bounded by the vocabulary)."""
-    pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-    counts = pairs.groupBy("x.terms").agg(F.sum("x.counts").alias("n")).collect()
-    out = np.zeros(n_terms, dtype=np.int64)
-    for term, n in counts:
-        out[term] = n
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", text_key().alias("text_key"))
+    return numbered.mapInArrow(segments, schema)
+
+
+class Segment:
+    """The postings of one segment for the terms of one block of windows."""
+
+    def __init__(self, row: dict, queries: Queries, slop: int) -> None:
+        self.queries, self.slop = queries, slop
+        self.n_words = row["n_words"].values.to_numpy()
+        terms = np.frombuffer(row["terms"].as_py(), dtype="<i8")
+        counts = np.frombuffer(row["counts"].as_py(), dtype="<u4").astype(np.int64)
+        positions = np.frombuffer(row["positions"].as_py(), dtype="<u4")
+        vocabulary = queries.vocabulary
+        at = np.minimum(np.searchsorted(terms, vocabulary), max(0, len(terms) - 1))
+        here = terms[at] == vocabulary if len(terms) else np.zeros(len(vocabulary), dtype=bool)
+        self.count = np.where(here, counts[at] if len(terms) else 0, 0)
+        ends = np.cumsum(counts)
+        self.ends = np.concatenate(([0], np.cumsum(self.count)))
+        take = np.arange(self.ends[-1]) + np.repeat(((ends - counts)[at] if len(terms) else at) - self.ends[:-1], self.count)
+        # texts are set apart by more than a window can reach
+        self.gap = queries.terms.shape[1] + 2 * slop + 1
+        own = positions[take].astype(np.int64)
+        first = np.concatenate(([0], np.cumsum(self.n_words)))
+        self.positions = own + self.gap * (np.searchsorted(first, own, side="right") - 1)
+        self.first = first + self.gap * np.arange(len(first))
+        self.span = self.first[-1] + 2 * self.gap
+        self.key = np.repeat(np.arange(len(vocabulary)), self.count) * self.span + self.positions + self.gap
+
+    def matches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, start position) of every match, a bounded number at a time."""
+        terms = self.queries.terms
+        count = np.where(terms >= 0, self.count[terms], np.iinfo(np.int64).max)
+        windows = np.flatnonzero((count > 0).all(axis=1))
+        if not len(windows):
+            return
+        order = np.argsort(count[windows], axis=1, kind="stable")
+        rare = terms[windows, order[:, 0]]
+        start, n = self.ends[rare], self.count[rare]
+        ends = np.cumsum(n)
+        for low in range(0, int(ends[-1]), CANDIDATES):
+            number = np.arange(low, min(low + CANDIDATES, int(ends[-1])))
+            of = np.searchsorted(ends, number, side="right")
+            yield self._intersect(windows[of], order[of], self.positions[start[of] + number - (ends - n)[of]])
+
+    def _intersect(self, window: np.ndarray, order: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of candidates (window, place of its rarest term) those where each other
+        term, rarest first, has a posting within ``slop`` of its place."""
+        begin, slop = at - order[:, 0], self.slop
+        for step in range(1, order.shape[1]):
+            if not len(window):
+                break
+            offset = order[:, step]
+            term = self.queries.terms[window, offset]
+            want = term * self.span + begin + offset + self.gap
+            near = np.searchsorted(self.key, want - slop)
+            ok = near < len(self.key)
+            ok[ok] = self.key[near[ok]] <= want[ok] + slop
+            ok |= term < 0
+            window, begin, order = window[ok], begin[ok], order[ok]
+        return window, begin
+
+    def per_text(self) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+        """Matched word spans and items of each text of the segment."""
+        own, slop = self.queries, self.slop
+        lengths = (own.terms >= 0).sum(axis=1)
+        spans: list[list[tuple[int, int]]] = [[] for _ in self.n_words]
+        seen: set[tuple[int, int]] = set()
+        for window, begin in self.matches():
+            text = np.searchsorted(self.first, begin + slop, side="right") - 1
+            local = begin - self.first[text]
+            end = np.minimum(local + lengths[window] + slop, self.n_words[text])
+            for t, a, b in zip(text.tolist(), np.maximum(local - slop, 0).tolist(), end.tolist()):
+                spans[t].append((a, b))
+            seen.update(zip(text.tolist(), window.tolist()))
+        items: list[set[str]] = [set() for _ in self.n_words]
+        for t, w in seen:
+            items[t].update(own.names[i] for i in own.items[own.item_at[w] : own.item_at[w + 1]].tolist())
+        return [_joined(x) for x in spans], items
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching spans made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
-def intersect(
-    terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, queries: Queries, slop: int = 0
-) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start position) of every match in one segment.
-
-    The candidates of a window are the positions of its rarest term less that
-    term's offset. Each further list keeps those with a posting within ``slop``
-    of the expected place; all windows of the block advance together.
-    """
-    ends = np.zeros(len(queries.vocabulary) + 1, dtype=np.int64)
-    ends[terms + 1] = counts
-    ends = np.cumsum(ends)
-    span = np.int64(positions.max(initial=0)) + 2 * GAP + 2 * slop
-    key = np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * span + positions + GAP
-    windows = np.arange(len(queries.terms))
-    rare = queries.order[:, 0]
-    start = ends[queries.terms[windows, rare]]
-    n = ends[queries.terms[windows, rare] + 1] - start
-    window = np.repeat(windows, n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[window]
-    begin = positions[at].astype(np.int64) - rare[window]
-    for step in range(1, queries.terms.shape[1]):
-        if not len(window):
-            break
-        offset = queries.order[window, step]
-        term = queries.terms[window, offset].astype(np.int64)
-        want = term * span + begin + offset + GAP
-        near = np.searchsorted(key, want - slop)
-        ok = near < len(key)
-        ok[ok] = key[near[ok]] <= want[ok] + slop
-        ok |= term < 0
-        window, begin = window[ok], begin[ok]
-    return window, begin
-
-
 def search(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame:
-    """For every indexed text: doc_id, text_key, n_words, the matched word spans
-    and the items they belong to (empty lists where nothing matches)."""
+    """For every indexed text: row, doc_id, text_key, n_words, the matched word
+    spans and the items they belong to (empty lists where nothing matches)."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        lengths = (own.terms >= 0).sum(axis=1)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k] for name in batch.schema.names}
-                n_words = np.array(row["n_words"].as_py(), dtype=np.int64)
-                positions = np.frombuffer(row["positions"].as_py(), dtype="<i4")
-                terms = np.array(row["terms"].as_py(), dtype=np.int64)
-                counts = np.array(row["counts"].as_py(), dtype=np.int64)
-                window, begin = intersect(terms, counts, positions, own, slop)
-                first = np.concatenate(([0], np.cumsum(n_words + GAP)))
-                spans: list[list[dict]] = [[] for _ in n_words]
-                items: list[set[str]] = [set() for _ in n_words]
-                text = np.searchsorted(first, begin + slop, side="right") - 1
-                local = begin - first[text]
-                for w, t, s in sorted(zip(window.tolist(), text.tolist(), local.tolist()), key=lambda x: x[1:]):
-                    end = min(s + int(lengths[w]) + slop, int(n_words[t]))
-                    spans[t].append({"begin": max(0, s - slop), "end": end})
-                    items[t].update(own.names[i] for i in own.items[own.item_at[w] : own.item_at[w + 1]].tolist())
+                spans, items = Segment(row, shared.value, slop).per_text()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        row["doc_ids"].values,
-                        row["text_keys"].values,
-                        pa.array(n_words),
-                        pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+                        *(row[c].values for c in ("rows", "doc_ids", "text_keys", "n_words")),
+                        pa.array([[{"begin": a, "end": b} for a, b in x] for x in spans], _SPANS),
                         pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                     ],
-                    ["doc_id", "text_key", "n_words", "spans", "items"],
+                    ["row", "doc_id", "text_key", "n_words", "spans", "items"],
                 )
 
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
     schema = (
-        f"doc_id {kind}, text_key long, n_words long,"
+        f"row long, doc_id {kind}, text_key long, n_words long,"
         " spans array<struct<begin:long,end:long>>, items array<string>"
     )
     return index.mapInArrow(run, schema)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """:func:`search` over all blocks of the benchmark, one row per document row."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-words // (6 * BLOCK_WORDS)))
-    found = []
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
+def query_blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Queries]:
+    """The windows of a query set in blocks of bounded size (one, if it is empty)."""
+    rows = stored(windows_of(benchmark, window))
+    blocks = max(1, -(-rows.count() // BLOCK_WINDOWS))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("terms"), F.lit(blocks)))
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        queries = query_block([(r[0], bytes(r[1])) for r in own.toLocalIterator()], window)
-        index = stored(build_index(docs, queries.vocabulary))
-        ordered = queries.by_rarity(term_frequencies(index, len(queries.vocabulary)))
-        found.append(search(index, ordered, slop))
-    if blocks == 1:
-        return found[0]
-    both = found[0]
+        own = dealt.where(F.col("block") == block).drop("block")
+        yield query_block(own.orderBy("terms", "item_id").toArrow(), window)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
+    """:func:`search` over all blocks of the query set, one row per document row."""
+    index = stored(build_index(docs))
+    found = [search(index, own, slop) for own in query_blocks(benchmark, window)]
+    if len(found) == 1:
+        return found[0].drop("row")
+    hits = found[0]
     for more in found[1:]:
-        both = both.unionByName(more)
-    merged = both.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"),
+        hits = hits.unionByName(more)
+    hits = hits.where(F.size("spans") > 0).groupBy("row").agg(
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        (F.count("*") / blocks).cast("int").alias("copies"),
     )
-    return merged.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    zipped = F.explode(F.arrays_zip("rows", "doc_ids", "text_keys", "n_words")).alias("x")
+    every = index.select(zipped).select("x.*").toDF("row", "doc_id", "text_key", "n_words")
+    return every.join(hits, "row", "left").select(
+        "doc_id", "text_key", "n_words", *(F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("spans", "items"))
+    )
 
 
 def covered(spans: F.Column) -> F.Column:
