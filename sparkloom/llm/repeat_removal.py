@@ -8,10 +8,12 @@ content, so that equal strings meet wherever they stand:
    around it. Any LENGTH bytes contain an anchor, and equal strings contain the
    same one at the same place. Its context is all that the strings of LENGTH
    bytes around it can hold.
-2. Each task keeps, of equal contexts, the first; the others are certainly
-   repeated and their bytes are covered at once. So a frequent passage sends one
-   row per task, not one per occurrence. The rest meet by anchor hash, and there
-   equal contexts are settled in the same way over the corpus.
+2. Each task keeps, of equal contexts, the first; the others are repeated and
+   their bytes are covered at once. So a frequent passage sends one row per task,
+   not one per occurrence. The rest meet by anchor hash in sorted order, and there
+   equal contexts are settled in the same way over the corpus, in one pass that
+   holds no group. Contexts count as equal if two 64-bit hashes are, that of the
+   anchor and that of the context.
 3. Anchors whose surviving contexts differ lie near the ends of repeats. Their
    contexts are cut in parts by the place where strings start; parts whose core
    is found nowhere else go. For the others an enhanced suffix array is built over
@@ -21,8 +23,8 @@ content, so that equal strings meet wherever they stand:
    to the left; the others are maximal repeats, with all their occurrences. All
    occurrences but the first are covered.
 
-A group of more than LARGE parts is not held by one task: its strings are
-settled one by one by hash, which covers the same bytes.
+A group of more than LARGE parts is not held by one task: its strings of LENGTH
+bytes are grouped one by one, which covers the same bytes.
 
 Defined results: null is empty text; a text under LENGTH bytes keeps all; rows
 that share a doc_id are one document: repeated rows do not count as earlier than
@@ -36,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,16 +109,15 @@ def _places(ids: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
-def _first_of(keys: np.ndarray, ids: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first row of each key in the order of (doc_id, start), and the later
-    rows, in that order. Rows at the very place of the first are neither."""
+def _first_of(a: np.ndarray, b: np.ndarray, ids: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each key (a, b) in the order of (doc_id, start), and the
+    later rows, in that order. Rows at the very place of the first are neither."""
     order, place = _places(ids, starts)
-    sorted_keys = keys[order]
-    by_key = np.argsort(sorted_keys, kind="stable")
-    grouped = sorted_keys[by_key]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = grouped[1:] != grouped[:-1]
-    head = by_key[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+    by_key = np.lexsort((b[order], a[order]))
+    a, b = a[order][by_key], b[order][by_key]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    head = by_key[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
     later = np.sort(by_key[place[by_key] > place[head]])
     return order[by_key[new]], order[later]
 
@@ -154,7 +156,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     def settled(parts: list[list]) -> Iterator[pa.RecordBatch]:
         ids = pa.concat_arrays([p[0] for p in parts])
         start, size, anchor, context = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
-        keep, again = _first_of(anchor ^ context, ids, start)
+        keep, again = _first_of(anchor, context, ids, start)
         yield _batch(0, anchor[keep], context[keep], ids.take(pa.array(keep)), start[keep], size[keep])
         if len(again):
             # runs of overlapping contexts of one document become one row
@@ -163,7 +165,8 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             new = np.ones(len(again), dtype=bool)
             new[1:] = (rank[1:] != rank[:-1]) | (left[1:] > right[:-1]) | (left[1:] < left[:-1])
             last = np.append(np.flatnonzero(new)[1:] - 1, len(again) - 1)
-            spread = anchor[again[new]]
+            # these rows only pass through, so they are dealt evenly
+            spread = mix64(anchor[again[new]].view(np.uint64) + np.arange(new.sum(), dtype=np.uint64)).view(np.int64)
             yield _batch(1, spread, spread, ids.take(pa.array(again[new])), left[new], right[last])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +186,10 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def _ranks(ids: pa.Array) -> np.ndarray:
-    """Numbers in the order of the ids; null sorts first."""
-    return np.unique(ids.to_pandas().fillna(-(1 << 62)).to_numpy(), return_inverse=True)[1]
+    """Numbers in the order of the ids, equal for equal ids; null sorts first."""
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    return pc.rank(ids, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
@@ -209,29 +214,52 @@ def _chunks(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+class _Settling:
+    """Goes through anchors sorted by (anchor, context, doc_id, start) and tells
+    first contexts from repeated ones. Between batches it holds one row, the first
+    of the current context, and whether its anchor has had another context."""
+
+    def __init__(self) -> None:
+        self.head: pa.RecordBatch | None = None
+        self.several = False
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        carried = self.head is not None
+        if carried:
+            batch = pa.concat_batches([self.head, batch])
+        anchor, context, start, end = (batch.column(c).to_numpy() for c in ("anchor", "context", "start", "end"))
+        rank = _ranks(batch.column("doc_id"))
+        new_anchor, new = np.ones(len(anchor), dtype=bool), np.ones(len(anchor), dtype=bool)
+        new_anchor[1:] = anchor[1:] != anchor[:-1]
+        new[1:] = new_anchor[1:] | (context[1:] != context[:-1])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        again = np.flatnonzero(~new & ((rank != rank[head]) | (start != start[head])))
+        left, right = np.maximum(start[again] - BEFORE, 0), np.minimum(start[again] + AFTER, end[again])
+        yield _batch(1, anchor[again], context[again], batch.column("doc_id").take(pa.array(again)), left, right)
+        number = (np.cumsum(new_anchor) - 1)[new]
+        several = np.bincount(number) > 1
+        several[0] |= carried and self.several
+        found = several[number]
+        found[0] &= not (carried and self.several)  # it went out before
+        yield batch.take(pa.array(np.flatnonzero(new)[found]))
+        self.head, self.several = batch.slice(int(head[-1]), 1), bool(several[-1])
+
+
 def settle_contexts(rows: DataFrame) -> DataFrame:
     """Step 2 over the corpus: covered bytes, and the anchors (kind 0) that have
-    more than one context left. Groups meet by anchor hash, in sorted order."""
+    more than one context left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _chunks(batches, "anchor", 1 << 16):
-            column = {c: group.column(c).combine_chunks() for c in _NAMES}
-            kind, anchor, context, start, end = (column[c].to_numpy() for c in _NAMES if c != "doc_id")
-            ids = column["doc_id"]
-            done, own = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
-            yield _batch(1, anchor[done], context[done], ids.take(pa.array(done)), start[done], end[done])
-            first, later = _first_of(anchor[own] ^ context[own], ids.take(pa.array(own)), start[own])
-            again, own = own[later], own[first]
-            yield _batch(
-                1, anchor[again], context[again], ids.take(pa.array(again)),
-                np.maximum(start[again] - BEFORE, 0), np.minimum(start[again] + AFTER, end[again]),
-            )
-            _, at, n = np.unique(anchor[own], return_inverse=True, return_counts=True)
-            several = n[at] > 1
-            own, n = own[several], n[at][several]
-            yield _batch(0, anchor[own], n, ids.take(pa.array(own)), start[own], end[own])
-
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, rows.schema)
+        settling = _Settling()
+        for batch in batches:
+            done = pa.array(batch.column("kind").to_numpy() == 1)
+            yield batch.filter(done)
+            own = batch.filter(pc.invert(done))
+            if own.num_rows:
+                yield from settling(own)
+
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "start")
+    return dealt.mapInArrow(run, rows.schema)
 
 
 #: Starts of strings in a context are taken in three parts. All strings of a part
@@ -421,27 +449,25 @@ def covered_by_repeats(parts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"doc_id {kind}, start long, end long")
 
 
-def covered_by_hash(parts: DataFrame) -> DataFrame:
+def covered_by_string(parts: DataFrame) -> DataFrame:
     """The same for the rows of very large groups, string by string: one row for
-    each string of LENGTH bytes, settled by the least place of its hash."""
+    each string of LENGTH bytes, settled by its least place."""
     kind = parts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bytes", 1 << 18):
+        for batch in slices(batches, "bytes", 1 << 16):
             texts = batch.column("bytes").to_pylist()
-            data, bounds = lay_out(texts)
-            at = np.arange(len(data))
-            text = np.searchsorted(bounds, at, side="right") - 1
-            at = at[at + LENGTH <= bounds[text + 1] - 1]
-            text = np.searchsorted(bounds, at, side="right") - 1
-            key = RangeHasher(data)(at, at + LENGTH).view(np.int64)
-            start = at - bounds[text] + batch.column("left").to_numpy()[text]
+            n = np.maximum(np.array([len(t) for t in texts]) - LENGTH + 1, 0)
+            text = np.repeat(np.arange(len(n)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            strings = [texts[k][a : a + LENGTH] for k, a in zip(text.tolist(), at.tolist())]
+            start = at + batch.column("left").to_numpy()[text]
             ids = batch.column("doc_id").take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(start)], ["key", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), ids, pa.array(start)], ["string", "doc_id", "start"])
 
-    strings = parts.mapInArrow(run, f"key long, doc_id {kind}, start long").distinct()
-    first = strings.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-    later = strings.join(first.where("n > 1"), "key").where(F.struct("doc_id", "start") > F.col("first"))
+    strings = parts.mapInArrow(run, f"string binary, doc_id {kind}, start long").distinct()
+    first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+    later = strings.join(first.where("n > 1"), "string").where(F.struct("doc_id", "start") > F.col("first"))
     return later.select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
 
 
@@ -455,7 +481,7 @@ def covered_bytes(docs: DataFrame) -> DataFrame:
     large = alive.where(F.col("n") > LARGE).select("key")
     parts = [settled.where("kind = 1").select("doc_id", "start", "end")]
     if not large.isEmpty():
-        parts.append(covered_by_hash(rows.join(large, "key", "left_semi")))
+        parts.append(covered_by_string(rows.join(large, "key", "left_semi")))
         rows = rows.join(large, "key", "left_anti")
     parts.append(covered_by_repeats(rows))
     spans = parts[0]
