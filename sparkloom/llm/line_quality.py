@@ -1,9 +1,17 @@
 """Quality rules: a linear-chain CRF marks each line as content or boilerplate.
 
 The chain is trained here by maximum likelihood (forward-backward, numpy) on a
-bounded sample of labelled documents: lines of good documents count as content,
-lines of bad ones as boilerplate. Viterbi decoding of a whole text then gives
-the state of each line, and the share of words in content lines decides.
+bounded sample of labelled documents: at most TRAINING_TEXTS of each class, and
+TRAINING_LINES evenly spread lines of a longer one. Labels mark documents, not
+lines, so the states of lines are latent. Lines of good documents are content; of
+bad ones all lines count as boilerplate at first, and then in each round the lines
+that the chain so far decodes as content change sides, as long as a share of
+BAD_SHARE of the words stays boilerplate (the least content-like lines). So the
+chain learns what tells lines apart, and how often the state changes within a
+text. Viterbi decoding of a whole text then gives the state of each line, and the
+share of words in content lines decides: the least share that keeps a text is
+where good and bad documents of the sample are best told apart, MIN_CONTENT at
+least.
 
 Base quantities, of every whole text (words are ``[^\\x20\\x09-\\x0D]+``):
 word_chars, n_symbols, n_dup_lines, n_repeat_words; a text fails the base when
@@ -11,7 +19,8 @@ it has under 50 words or over half of its words repeat in 3-word windows.
 
 Defined results: a null text has no words, fails the base and is not kept; a
 line without a word is not part of the chain; repeated rows are judged alike;
-without labelled rows every line is content. Extra columns are ignored.
+without labelled rows of both classes every line is content; a line whose two
+states score the same is content. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +37,13 @@ from .common import as_bytes, clean_labels, fold, slices, table
 from .quality_classifier import labelled_sample
 
 MIN_WORDS = 50
-#: Share of the words that content lines must hold for a text to stay.
+#: Share of the words that content lines must hold at least for a text to stay.
 MIN_CONTENT = 0.5
+#: Share of a bad training text's words that stay boilerplate.
+BAD_SHARE = 0.3
+#: Labelled texts of each class that the chain is fitted on, and rounds of it.
+TRAINING_TEXTS = 1500
+ROUNDS = 4
 #: Lines of one document that training looks at (evenly spread over it).
 TRAINING_LINES = 200
 
@@ -38,7 +52,7 @@ SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
 _ENDS = (b".", b"!", b"?", b":", b";", b'"', b")")
-N_FEATURES = 12
+N_FEATURES = 13
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -61,6 +75,7 @@ def repeated_words(words: list[bytes]) -> int:
 def line_features(lines: list[tuple[bytes, list[bytes], bool]]) -> np.ndarray:
     """One row of features for each line of a text: (bytes, words, repeated)."""
     out = np.zeros((len(lines), N_FEATURES))
+    repeats = {line for line, _, again in lines if again}
     for row, (line, words, again) in zip(out, lines):
         size, n = len(line), len(words)
         symbols = size - len(line.translate(None, SYMBOLS))
@@ -80,16 +95,29 @@ def line_features(lines: list[tuple[bytes, list[bytes], bool]]) -> np.ndarray:
             distinct / n,
             n >= 10 and 2 * distinct < n,
             again,
+            line in repeats,
         )
     return out
 
 
 @dataclass(frozen=True)
 class LineModel:
-    """Weights of state 1 (content) against state 0, and transition scores."""
+    """Weights of state 1 (content) against state 0, transition scores, and the
+    share of words in content lines from which a text stays."""
 
     unary: np.ndarray
     transition: np.ndarray
+    min_content: float = MIN_CONTENT
+
+
+@dataclass
+class Chain:
+    """The lines of a training text: features, words, states; its label."""
+
+    features: np.ndarray
+    words: np.ndarray
+    label: int
+    states: np.ndarray
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -97,15 +125,25 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def _padded(chains: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (chains, lines, features), which lines exist, and the states."""
-    longest = max(len(f) for f, _ in chains)
-    features = np.zeros((len(chains), longest, N_FEATURES))
-    there = np.zeros((len(chains), longest), dtype=bool)
-    for k, (f, _) in enumerate(chains):
-        features[k, : len(f)] = f
-        there[k, : len(f)] = True
-    return features, there, np.array([state for _, state in chains])
+class _Padded:
+    """Chains of similar length side by side, each with its class's weight."""
+
+    def __init__(self, chains: list[Chain], weight: list[float]) -> None:
+        longest = max(len(c.features) for c in chains)
+        self.features = np.zeros((len(chains), longest, N_FEATURES))
+        self.there = np.zeros((len(chains), longest), dtype=bool)
+        self.states = np.zeros((len(chains), longest))
+        self.weight = np.array([weight[c.label] for c in chains])
+        self.pairs = np.zeros((2, 2))  # weighted state changes that are wanted
+        for k, c in enumerate(chains):
+            n = len(c.features)
+            self.features[k, :n], self.there[k, :n], self.states[k, :n] = c.features, True, c.states
+            np.add.at(self.pairs, (c.states[:-1], c.states[1:]), self.weight[k])
+
+    def gradient(self, unary: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        content, pairs = _marginals(self.features @ unary, self.there, transition)
+        off = np.where(self.there, self.states - content, 0.0) * self.weight[:, None]
+        return np.einsum("kl,klf->f", off, self.features), self.pairs - np.einsum("k,kij->ij", self.weight, pairs)
 
 
 def _marginals(content: np.ndarray, there: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,35 +164,68 @@ def _marginals(content: np.ndarray, there: np.ndarray, transition: np.ndarray) -
     return np.exp(np.minimum(left + right - total[:, None, None], 0.0))[:, :, 1], pairs.sum(axis=1)
 
 
-def fit_line_model(chains: list[tuple[np.ndarray, int]], steps: int = 80, rate: float = 0.5) -> LineModel:
-    """Maximise the likelihood of chains (features, state of all their lines).
+def _climb(chains: list[Chain], start: LineModel, steps: int, linked: bool, rate: float = 0.5) -> LineModel:
+    """Maximise the likelihood of the states of the chains, from ``start``.
 
     Each class weighs the same, whatever its number of lines; gradients are
-    scaled by their running size.
+    scaled by their running size. Unless ``linked``, lines stand alone.
     """
-    unary, transition = np.zeros(N_FEATURES), np.zeros((2, 2))
-    lines = [sum(len(f) for f, y in chains if y == c) for c in (0, 1)]
-    if not all(lines):
-        unary[0] = 1.0
-        return LineModel(unary, transition)
-    features, there, states = _padded(chains)
-    weight = (0.5 / np.array(lines))[states]
-    want = np.zeros((2, 2))
-    for (f, state), w in zip(chains, weight):
-        want[state, state] += w * (len(f) - 1)
+    lines = [sum(len(c.features) for c in chains if c.label == k) for k in (0, 1)]
+    weight = [0.5 / n for n in lines]
+    by_length: dict[int, list[Chain]] = {}
+    for c in chains:
+        by_length.setdefault(len(c.features).bit_length() // 2, []).append(c)
+    groups = [_Padded(g, weight) for g in by_length.values()]
+    unary, transition = start.unary.copy(), start.transition.copy()
     seen_u, seen_t = np.full(N_FEATURES, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(steps):
-        content, pairs = _marginals(features @ unary, there, transition)
-        off = np.where(there, states[:, None] - content, 0.0) * weight[:, None]
-        grad_u = np.einsum("kl,klf->f", off, features) - 1e-3 * unary
-        grad_t = want - np.einsum("k,kij->ij", weight, pairs) - 1e-3 * transition
+        grad_u, grad_t = (sum(g) for g in zip(*(g.gradient(unary, transition) for g in groups)))
+        grad_u, grad_t = grad_u - 1e-3 * unary, grad_t - 1e-3 * transition
         seen_u += grad_u**2
         seen_t += grad_t**2
         unary += rate * grad_u / np.sqrt(seen_u)
-        transition += 0.3 * rate * grad_t / np.sqrt(seen_t)
+        if linked:
+            transition += 0.3 * rate * grad_t / np.sqrt(seen_t)
     return LineModel(unary, transition)
 
 
+def _relabel(chain: Chain, model: LineModel) -> None:
+    """States of a bad text: what the model decodes, but at least BAD_SHARE of
+    its words in boilerplate."""
+    states = viterbi(model, chain.features)
+    short = BAD_SHARE * chain.words.sum() - chain.words[states == 0].sum()
+    for line in np.argsort(chain.features @ model.unary, kind="stable").tolist():
+        if short <= 0:
+            break
+        if states[line]:
+            states[line] = 0
+            short -= chain.words[line]
+    chain.states = states
+
+
+def _share(chain: Chain, model: LineModel) -> float:
+    return float(chain.words[viterbi(model, chain.features) == 1].sum() / chain.words.sum())
+
+
+def fit_line_model(chains: list[Chain], steps: int = 60) -> LineModel:
+    """Weights from chains with the labels of their documents."""
+    model = LineModel(np.eye(1, N_FEATURES).ravel(), np.zeros((2, 2)))
+    if {c.label for c in chains} != {0, 1}:
+        return model
+    model = LineModel(np.zeros(N_FEATURES), np.zeros((2, 2)))
+    for k in range(ROUNDS):
+        for c in chains:
+            if c.label or not k:
+                c.states = np.full(len(c.features), c.label)
+            else:
+                _relabel(c, model)
+        model = _climb(chains, model, steps, linked=k > 0)
+    shares = [np.sort([_share(c, model) for c in chains if c.label == k]) for k in (0, 1)]
+    tried = np.linspace(MIN_CONTENT, 0.95, 10)
+    right = [np.searchsorted(shares[0], t) / len(shares[0]) - np.searchsorted(shares[1], t) / len(shares[1]) for t in tried]
+    return LineModel(model.unary, model.transition, float(tried[int(np.argmax(right))]))
+
+
 def viterbi(model: LineModel, features: np.ndarray) -> np.ndarray:
     """The likeliest states of the lines of one text (1: content)."""
     content = (features @ model.unary).tolist()
@@ -198,7 +269,8 @@ def judge(text: bytes, model: LineModel) -> tuple:
         content = viterbi(model, line_features(lines))
         share = sum(len(ws) for (_, ws, _), state in zip(lines, content) if state) / n
     duplicates = sum(again for _, _, again in lines)
-    return n, _code_points(text) - spaces, symbols, duplicates, repeats, failed, share, not failed and share >= MIN_CONTENT
+    kept = not failed and share >= model.min_content
+    return n, _code_points(text) - spaces, symbols, duplicates, repeats, failed, share, kept
 
 
 #: The bytes that continue a UTF-8 character.
@@ -215,16 +287,20 @@ _SCHEMA = (
 )
 
 
+def chain_of(text: bytes, label: int) -> Chain | None:
+    """A training text's chain; None without words."""
+    lines = split_lines(text)
+    features = line_features(lines)
+    step = max(1, -(-len(lines) // TRAINING_LINES))
+    features, words = features[::step], np.array([len(ws) for _, ws, _ in lines[::step]])
+    return Chain(features, words, label, np.full(len(words), label)) if len(words) else None
+
+
 def train_line_model(docs: DataFrame, labels: DataFrame) -> LineModel:
-    """Fit on the bounded labelled sample that the classifier documents."""
-    chains = []
-    for state, texts in labelled_sample(docs, labels).items():
-        for text in texts[:600]:
-            lines = split_lines(text)
-            lines = lines[:: max(1, -(-len(lines) // TRAINING_LINES))]
-            if lines:
-                chains.append((line_features(lines), state))
-    return fit_line_model(chains)
+    """Fit on a bounded labelled sample (see above)."""
+    sample = labelled_sample(docs, labels, TRAINING_TEXTS)
+    found = [chain_of(text, label) for label, texts in sample.items() for text in texts]
+    return fit_line_model([c for c in found if c is not None])
 
 
 def judge_lines(docs: DataFrame, model: LineModel) -> DataFrame:
