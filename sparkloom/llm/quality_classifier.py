@@ -2,9 +2,10 @@
 
 Two zstandard dictionaries are built from labelled text, one per class. A text
 is compressed block by block with each; the block form keeps a long text from
-outgrowing the dictionaries. The normalised difference of the two compressed
-sizes, and the compressed size per byte, go through a logistic calibration
-fitted on labelled rows that the dictionaries have not seen.
+outgrowing the dictionaries. The difference of the two compressed sizes,
+normalised by their sum and by the length of the text, goes through a logistic
+calibration. That is fitted on every labelled row of the sample, by dictionaries
+of the other half of the sample, which have not seen the row.
 
 Defined results: null and empty texts have no blocks and get the calibrated
 score of a zero difference; a repeated document counts once in the training
@@ -20,15 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, clean_labels, fold, slices, table
 
-#: Bounds of the labelled sample: rows of each class and bytes of each class.
+#: Bounds of the labelled sample: rows and bytes of each class, bytes of a text.
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 12 << 20
-BLOCK = 2048
+SAMPLE_TEXT = 256 << 10
+BLOCK = 1024
 LEVEL = 3
 DICTIONARY_BYTES = 96 << 10
 
@@ -67,10 +69,8 @@ class _Sizes:
         blocks = _blocks(text)
         bad, good = (sum(len(p.compress(b)) for b in blocks) for p in self._packers)
         if not blocks:
-            return (0.0, 0.0, 0.0, 0.0)
-        size = (bad + good) / 2
-        per_byte = size / (len(text) + 64)
-        return ((bad - good) / (bad + good), (bad - good) / (len(text) + 64), per_byte, per_byte * per_byte)
+            return (0.0, 0.0)
+        return ((bad - good) / (bad + good), (bad - good) / (len(text) + 64))
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ class QualityModel:
 
     def scores(self, texts: list[bytes], sizes: _Sizes | None = None) -> np.ndarray:
         sizes = sizes or _Sizes(self.bad, self.good)
-        x = np.array([sizes.features(t) for t in texts], dtype=float).reshape(-1, 4)
+        x = np.array([sizes.features(t) for t in texts], dtype=float).reshape(-1, 2)
         z = (x - self.mean) / self.scale @ np.array(self.weights[1:]) + self.weights[0]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -105,42 +105,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> dict[int, list[bytes]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> dict[int, list[bytes]]:
     """Texts of a bounded sample per class, in hash order of the ids.
 
     The ids are drawn from the labels alone (a top-k by hash), so at most
-    2 * SAMPLE_ROWS ids are joined to the documents by broadcast.
+    2 * ``most`` ids are joined to the documents by broadcast. Of each text at
+    most SAMPLE_TEXT bytes are taken, in Spark, so the driver gets a bounded
+    number of bytes.
     """
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    classes = [labels.where(F.col("label") == c).orderBy(*order).limit(SAMPLE_ROWS) for c in (0, 1)]
+    classes = [labels.where(F.col("label") == c).orderBy(*order).limit(most) for c in (0, 1)]
     ids = classes[0].unionByName(classes[1])
     rows = (
-        docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+        docs.select("doc_id", F.substring(F.col("text").cast("binary"), 1, SAMPLE_TEXT).alias("text"))
         .where(F.col("text").isNotNull())
         .join(F.broadcast(ids), "doc_id")
     )
+    size = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(size, F.lit(0))).where(F.col("before") < SAMPLE_BYTES)
     out: dict[int, list[bytes]] = {0: [], 1: []}
-    taken = {0: 0, 1: 0}
-    for row in rows.orderBy(*order, "text").toLocalIterator():
-        if taken[row["label"]] < SAMPLE_BYTES:
-            out[row["label"]].append(bytes(row["text"]))
-            taken[row["label"]] += len(row["text"])
+    for row in rows.orderBy(*order, "text").select("label", "text").toLocalIterator():
+        out[row["label"]].append(bytes(row["text"]))
     return out
 
 
 def train_quality_model(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on every labelled row given, up to the bounds of the sample.
 
-    Even rows of the sample build the dictionaries, odd rows calibrate.
+    Each half of the sample is calibrated by dictionaries of the other half; the
+    dictionaries of the model come from the whole sample.
     """
     texts = labelled_sample(docs, labels)
-    bad, good = (_dictionary(texts[c][0::2]) for c in (0, 1))
-    sizes = _Sizes(bad, good)
-    held = [(t, c) for c in (0, 1) for t in texts[c][1::2]]
-    if not held:
-        return QualityModel(bad, good, (0.0,) * 4, (1.0,) * 4, (0.0,) * 5)
-    x = np.array([sizes.features(t) for t, _ in held], dtype=float)
-    y = np.array([c for _, c in held], dtype=float)
+    bad, good = (_dictionary(texts[c]) for c in (0, 1))
+    x, y = [], []
+    for half in (0, 1):
+        sizes = _Sizes(*(_dictionary(texts[c][half::2]) for c in (0, 1)))
+        for c in (0, 1):
+            x += [sizes.features(t) for t in texts[c][1 - half :: 2]]
+            y += [c] * (len(x) - len(y))
+    if not x:
+        return QualityModel(bad, good, (0.0,) * 2, (1.0,) * 2, (0.0,) * 3)
+    x, y = np.array(x, dtype=float), np.array(y, dtype=float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = _logistic((x - mean) / scale, y)
     return QualityModel(bad, good, tuple(mean), tuple(scale), tuple(w))
