@@ -1,16 +1,20 @@
 """Licence texts by canonical digest: normalise, digest, hash-join.
 
-A text is lower-cased, lines that only state a copyright are dropped,
-equivalent spellings are made one, and all but letters and digits becomes single
+A text is lower-cased, lines that state a copyright (the word with a sign or a
+year, not any line that begins with it) are dropped, equivalent spellings are made one, and all but letters and digits becomes single
 spaces. The SHA-256 of what is left is looked up among the digests of known
 licences. Whole documents are looked up as entire texts, and so is each line, as
 short notices stand on lines of their own. Column expressions only.
 
+The built-in table holds short licences as texts, under their usual titles and
+without one, and long ones as digests of their published texts. It is parameter
+``known``, so a table of any size can be given instead.
+
 A text without any of the stems that every known licence has one of cannot
 match, so it is not normalised; that changes no result.
 
 Defined results: null and empty texts match nothing; a line counts each time it
-stands in a document; rows with the same doc_id and different texts share their
+stands in a document; a row without doc_id has no line counts; rows with the same doc_id and different texts share their
 line counts; a repeated row has the same result as the first; of two known
 licences with the same digest the smaller id is reported. Extra columns are
 ignored.
@@ -18,6 +22,9 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +33,7 @@ from .common import table
 #: Known licences and the notices that stand for them.
 KNOWN = {
     "MIT": (
-        "MIT License\n\nCopyright (c) <year> <holders>\n\n"
+        "Copyright (c) <year> <holders>\n\n"
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction, including without '
         "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
@@ -39,7 +46,7 @@ KNOWN = {
         "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "ISC": (
-        "ISC License\n\nCopyright <year> <holder>\n\n"
+        "Copyright <year> <holder>\n\n"
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
         'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
@@ -66,6 +73,38 @@ KNOWN = {
         "plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may "
         "not be removed or altered from any source distribution."
     ),
+    "BSD-2-Clause": (
+        "Copyright (c) <year>, <holder>\n\nRedistribution and use in source and binary forms, with or without "
+        "modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+        "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+        "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+        "DAMAGE."
+    ),
+    "BSD-3-Clause": (
+        "Copyright (c) <year>, <holder>\n\nRedistribution and use in source and binary forms, with or without "
+        "modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.\n\n"
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+        "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+        "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+        "DAMAGE."
+    ),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
@@ -81,6 +120,32 @@ KNOWN = {
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright under the CC0 license.",
 }
 
+#: The titles under which these licences are published.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+}
+#: Digests (see below) of the published texts of long licences.
+LONG = {
+    "Apache-2.0-text": "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+    "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+}
+
 #: Equivalent spellings (left is made right), as published with
 #: the public licence-matching guidelines.
 SPELLINGS = (
@@ -102,7 +167,8 @@ SPELLINGS = (
 )
 #: Each known licence has one of these stems.
 STEMS = "licen[sc]e|software"
-COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
+_YEAR = r"[\[<{(]?((19|20)[0-9][0-9]|year|yyyy)"
+COPYRIGHT = rf"^[^a-z0-9]*(copyright[ \t:]*(\(c\)|©|{_YEAR})|(\(c\)|©)[ \t]*(copyright|{_YEAR})|all rights reserved[^a-z0-9]*$)"
 #: Digests that are broadcast at most; a larger table is joined by shuffle.
 MOST_BROADCAST = 100_000
 
@@ -122,13 +188,24 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the built-in short licences, with and without title."""
+    plain = list(KNOWN.items())
+    return plain + [(k, f"{title}\n\n{KNOWN[k]}") for k, titles in TITLES.items() for title in titles]
+
+
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """(digest, license_id), one row per digest."""
     bounded = known is None or known.count() <= MOST_BROADCAST
     if known is None:
-        entries = [F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in KNOWN.items()]
+        entries = [F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in known_texts()]
         known = spark.range(1).select(F.inline(F.array(*entries)))
-    rows = known.select(digest(F.col("text")).alias("digest"), "license_id").where("digest is not null")
+        long = [F.struct(F.lit(v).alias("digest"), F.lit(k).alias("license_id")) for k, v in LONG.items()]
+        more = spark.range(1).select(F.inline(F.array(*long)))
+    else:
+        more = spark.createDataFrame([], "digest string, license_id string")
+    rows = known.select(digest(F.col("text")).alias("digest"), F.col("license_id").cast("string").alias("license_id"))
+    rows = rows.where("digest is not null").unionByName(more)
     rows = rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     return F.broadcast(rows) if bounded else rows
 
@@ -157,7 +234,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, stems: str |
         F.count("*").alias("n_license_lines"),
         F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"),
     )
-    whole = rows.select("doc_id", "digest").join(table_of, "digest", "left")
+    # texts without a digest are spread over all partitions
+    spread = F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))
+    whole = rows.select("doc_id", F.coalesce("digest", spread).alias("digest")).join(table_of, "digest", "left")
     return whole.join(found, "doc_id", "left").select(
         "doc_id",
         "license_id",
@@ -183,12 +262,22 @@ def _sql_digest(text: str) -> str:
     return f"CASE WHEN {form} <> '' THEN sha256({form}) END"
 
 
+def _plain_digest(text: str) -> str:
+    """The digest of an ASCII text in plain Python, apart from the expressions."""
+    lines = [x for x in text.lower().split("\n") if not re.search(COPYRIGHT, x)]
+    form = " ".join(lines)
+    for old, new in SPELLINGS:
+        form = re.sub(old, new, form)
+    return hashlib.sha256(re.sub("[^a-z0-9]+", " ", form).strip().encode()).hexdigest()
+
+
+_KNOWN_ROWS = sorted({(_plain_digest(v), k) for k, v in known_texts()} | {(v, k) for k, v in LONG.items()})
+
 ORACLE = f"""
 WITH known AS (
-  SELECT digest, min(license_id) AS license_id FROM (
-    SELECT license_id, {_sql_digest("text")} AS digest
-    FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in KNOWN.items())}) AS t(license_id, text))
-  WHERE digest IS NOT NULL GROUP BY digest),
+  SELECT digest, min(license_id) AS license_id
+  FROM (VALUES {", ".join(f"({_sql_text(d)}, {_sql_text(k)})" for d, k in _KNOWN_ROWS)}) AS t(digest, license_id)
+  GROUP BY digest),
 rows AS (SELECT doc_id, text, {_sql_digest("text")} AS digest FROM documents),
 split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),

@@ -1,7 +1,9 @@
 """Pseudonyms and licences: formats, links, and a plain model of the network."""
 
 import hashlib
+import os
 import re
+import textwrap
 
 import pytest
 
@@ -80,6 +82,79 @@ def test_neighbouring_values(frame):
     assert n == 4 and not set(new.split()[1:]) & set(text.split()[1:])
 
 
+def test_values_of_other_scripts_and_countries(frame):
+    texts = ["üüü@x.com", "юзер@mail.com", "漢字@例え.jp", "call +44 20 7946 0958", "+33 1 23 45 67 89", "+442079460958", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    got, n = out(frame, texts)
+    assert n == [1] * len(texts) and not set(got) & set(texts)
+    assert re.fullmatch(r"call \+44 \d\d \d{4} \d{4}", got[3]) and re.fullmatch(r"\+33 \d( \d\d){4}", got[4])
+    for text in got[6:]:
+        plain = text.replace(" ", "")
+        number = "".join(str(int(c, 36)) for c in plain[4:] + plain[:4])
+        assert int(number) % 97 == 1
+    assert out(frame, ["DE88 3704 0044 0532 0130 00"])[1] == [0]
+
+
+def plain_date(s):
+    """The pseudonym of a date by a Feistel network in plain Python."""
+    import datetime as d
+
+    month_first = s[2] == "/" and int(s[:2]) <= 12
+    form = "%Y-%m-%d" if s[4] == "-" else "%m/%d/%Y" if month_first else "%d/%m/%Y"
+    day = d.datetime.strptime(s, form).toordinal() - 1
+    while True:
+        block, left, right = day // 65536 * 65536, day % 65536 // 256, day % 256
+        left, right = network(left, right, 256, 256, "date", P.KEY)
+        day = block + left * 256 + right
+        new = d.date.fromordinal(day + 1)
+        if form != "%d/%m/%Y" or new.day > 12:
+            return f"{new.year:04d}-{new:%m-%d}" if s[4] == "-" else f"{new:%m/%d}/{new.year:04d}" if month_first else f"{new:%d/%m}/{new.year:04d}"
+
+
+def test_dates_of_each_form_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    days = spark.sql("select explode(sequence(date'2011-01-01', date'2015-12-31')) d")
+    forms = [days.select(F.date_format("d", f).alias("s")) for f in ("MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd")]
+    rows = forms[0].union(forms[1]).union(forms[2]).distinct().select("s", P.pseudonym(F.col("s")).alias("p")).collect()
+    assert len({r["p"] for r in rows}) == len(rows)
+    assert all(r["p"] == plain_date(r["s"]) for r in rows)
+
+
+def test_text_equals_the_plain_network(frame):
+    def shifted(s, seed):
+        res = ""
+        for i, c in enumerate(s):
+            by = int(hashlib.sha256(f"{seed}|{i // 8}".encode()).hexdigest()[i % 8 * 8 :][:8], 16)
+            for first, n in P.CLASSES:
+                if first <= ord(c) < first + n:
+                    c = chr(first + (ord(c) - first + by) % n)
+                    break
+            res += c
+        return res
+
+    def permuted(s, kind):
+        left, right = s[: len(s) // 2], s[len(s) // 2 :]
+        for step in range(1, 9):
+            seed = hashlib.sha256(f"{P.KEY}|{kind}|{step}|{right}".encode()).hexdigest()
+            left, right = right, shifted(left, seed)
+        return left + right
+
+    names = ["jo.Doe9", "a", "Ünal-ß", "юзер_1", "漢字かな", "x" * 60]
+    got, _ = out(frame, [f"{n}@example.org" for n in names])
+    assert got == [permuted(n, "email") + "@example.org" for n in names]
+    got, _ = out(frame, ["token: abcDEF123_-é"])
+    assert got == ["token: " + permuted("abcDEF123_-é", "secret")]
+
+
+@pytest.mark.parametrize("text", [
+    "x@" + "a." * 3000 + "com", "a@" * 500_000, "password=" + "aZ9😀" * 20_000, "token" + " " * 1_000_000 + "=", "1" * 1_000_000,
+    "1234 " * 200_000, "+1 " * 300_000, "1." * 500_000, "DE12 " * 200_000, "é" * 1_000_000 + "@x", "a😀" * 500_000, "12/" * 300_000,
+])
+def test_no_text_overflows(frame, text):
+    (got,), _ = out(frame, [text])
+    assert len(got) == len(text)
+
+
 def test_small_domains_are_permuted_whole(spark):
     from pyspark.sql import functions as F
 
@@ -100,7 +175,7 @@ def test_very_long_text(frame):
     assert n == 1 and text.startswith("filler text " * 20_000)
 
 
-MIT = L.KNOWN["MIT"]
+MIT = "MIT License\n\n" + L.KNOWN["MIT"]
 
 
 def scan(frame, rows):
@@ -123,6 +198,36 @@ def test_stems_hide_no_known_licence():
     assert all(re.search(L.STEMS, text.lower()) for text in L.KNOWN.values())
 
 
+@pytest.mark.parametrize("width", [60, 72, 80])
+def test_published_wrapping(frame, width):
+    """Each known text as it is usually printed: wrapped, and indented."""
+    own = [(k, v.replace("<year>", "2021").replace("<holder>", "A Holder")) for k, v in L.known_texts()]
+    texts = []
+    for k, v in own:
+        wrapped = "\n\n".join(textwrap.fill(p, width) for p in v.split("\n\n"))
+        texts += [(k, wrapped), (k, textwrap.indent(wrapped, "    "))]
+    got = scan(frame, [(i, t) for i, (_, t) in enumerate(texts)])
+    assert [got[i][0] for i in range(len(texts))] == [k for k, _ in texts]
+
+
+def test_only_statements_of_copyright_are_dropped(spark):
+    from pyspark.sql import functions as F
+
+    dropped = ["Copyright (c) 2020 X", "copyright 1999", "(C) 2001 Y", "© 2020", "# Copyright [yyyy] Z", "All rights reserved."]
+    kept = ["copyright notice and this permission notice appear in all copies.", "Copyright holders be liable", "(c) any other", "All rights reserved by law stay"]
+    df = spark.createDataFrame([(x,) for x in dropped + kept], "text string")
+    assert [r[0] == "" for r in df.select(L.normalised(F.col("text"))).collect()] == [True] * len(dropped) + [False] * len(kept)
+
+
+def test_long_licences(frame):
+    """Where the published texts are installed, they are found."""
+    folder, names = "/usr/share/common-licenses", {"Apache-2.0-text": "Apache-2.0", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0"}
+    if not os.path.isdir(folder):
+        pytest.skip("no published texts here")
+    rows = [(i, open(f"{folder}/{f}").read()) for i, f in enumerate(names.values())]
+    assert [x[0] for _, x in sorted(scan(frame, rows).items())] == list(names)
+
+
 def test_own_table_and_empty_documents(spark, frame):
     own = spark.createDataFrame([("b", "Free for all"), ("a", "free  for ALL!"), ("c", "")], "license_id string, text string")
     docs = frame([(1, "Free, for all."), (2, "x")])
