@@ -209,7 +209,7 @@ def contaminated(rows, bench):
 
 @pytest.mark.parametrize("block", [2_000_000, 5])
 def test_benchmark_windows(spark, frame, monkeypatch, block):
-    monkeypatch.setattr(B, "BLOCK_WORDS", block)
+    monkeypatch.setattr(B, "BLOCK_WINDOWS", block)
     monkeypatch.setattr(B, "SEGMENT_BYTES", 400)
     rng = random.Random(block)
     vocabulary = [f"W{i}" for i in range(12)] + ["É", "naïve"]
@@ -224,6 +224,41 @@ def test_benchmark_windows(spark, frame, monkeypatch, block):
     assert sorted(map(tuple, found.collect())) == contaminated(rows, bench)
 
 
+def near(rows, bench, slop):
+    """Rows with a window of which each word is within ``slop`` of its place
+    from some start that its rarest word in the corpus fixes."""
+    counts = {}
+    for _, t in rows:
+        for w in words(t):
+            counts[w] = counts.get(w, 0) + 1
+    out = set()
+    for i, t in rows:
+        own = words(t)
+        for _, b in bench:
+            for s in range(max(len(words(b)) - 10, 0) + 1):
+                window = words(b)[s : s + 10]
+                local = sorted(range(len(window)), key=lambda k: (own.count(window[k]), k))
+                for p in (p for p, w in enumerate(own) if w == window[local[0]]):
+                    at = p - local[0]
+                    if all(window[k] in own[max(0, at + k - slop) : max(0, at + k + slop + 1)] for k in local[1:]):
+                        out.add(i)
+    return out
+
+
+@pytest.mark.parametrize("slop, candidates", [(0, 1 << 19), (1, 7), (3, 50)])
+def test_proximity_against_brute_force(spark, frame, monkeypatch, slop, candidates):
+    monkeypatch.setattr(B, "CANDIDATES", candidates)
+    monkeypatch.setattr(B, "BLOCK_WINDOWS", 20)
+    rng = random.Random(slop)
+    digits = [" ".join(rng.choice("0123") for _ in range(rng.randrange(5, 30))) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice("0123") for _ in range(rng.randrange(3, 40)))) for i in range(40)]
+    rows += [(100 + i, "9 9 " + d + " 8") for i, d in enumerate(digits)]
+    monkeypatch.setattr(B, "SEGMENT_BYTES", 1)  # one text in each segment, as the brute force counts
+    bench = spark.createDataFrame(list(enumerate(digits)), "item_id long, text string")
+    found = {r["doc_id"] for r in B.matches(frame(rows), bench, slop=slop).where("size(spans) > 0").collect()}
+    assert found == near(rows, list(enumerate(digits)), slop)
+
+
 def test_proximity(spark, frame):
     docs = frame([(1, "a b c d e"), (2, "a x b c d y e"), (3, "e d c b a")])
     bench = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
@@ -232,6 +267,12 @@ def test_proximity(spark, frame):
     assert (exact, loose) == ({1}, {1, 2})
 
 
+def test_item_without_id_counts_under_an_empty_one(spark, frame):
+    bench = spark.createDataFrame([(None, "w0 w1"), (4, "w1 w2")], "item_id long, text string")
+    row = B.contamination(frame([(1, "w0 w1 w2")]), bench).first()
+    assert (row["n_items"], row["items_sha256"]) == (2, hashlib.sha256(b",4").hexdigest())
+
+
 def test_null_ids_do_not_escape(spark, frame):
     docs = frame([(None, "w0 w1 w2"), (1, "other")])
     bench = spark.createDataFrame([(1, "w0 w1 w2")], "item_id long, text string")
@@ -241,7 +282,7 @@ def test_null_ids_do_not_escape(spark, frame):
 
 @pytest.mark.parametrize("block", [2_000_000, 1])
 def test_stage_keeps_clean_rows_of_an_id(spark, frame, monkeypatch, tmp_path, block):
-    monkeypatch.setattr(B, "BLOCK_WORDS", block)
+    monkeypatch.setattr(B, "BLOCK_WINDOWS", block)
     bench = [(1, "w0 w1 w2"), (2, "v0 v1 v2"), (3, "u0 u1")]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = [(None, "nothing here"), (None, None), (5, "other"), (5, "other"), (6, "")]

@@ -102,3 +102,59 @@ def test_lines_separate_labelled_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
     rows = C.op3_line_quality(spark, SF).where("not base_failed").join(labels, "doc_id")
     assert rows.where("(quality = 1) = kept").count() >= 0.97 * rows.count()
+
+
+def test_lines_within_a_text_are_told_apart(spark):
+    """Boilerplate planted in good prose, at the start, in the middle, at the end."""
+    import random
+
+    from sparkloom.llm.common import clean_labels, table
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = C.train_line_model(docs, clean_labels(labels, "quality"))
+    rows = docs.join(labels, "doc_id").where("text is not null").orderBy("doc_id").collect()
+    long = lambda r: [x for x in r["text"].split("\n") if len(x.split()) > 3]
+    noise = [x for r in rows if not r["quality"] for x in long(r) if any(s in x for s in ("!!", "***", " | "))]
+    rng, hit, wrong, inside, n = random.Random(5), 0, 0, 0, 0
+    for good in (long(r) for r in rows if r["quality"]):
+        if len(good) < 6:
+            continue
+        block = [rng.choice(noise) for _ in range(rng.randrange(2, 4))]
+        at = rng.choice([0, len(good) // 2, len(good)])
+        lines = C.split_lines("\n".join(good[:at] + block + good[at:]).encode())
+        truth = np.array([1] * at + [0] * len(block) + [1] * (len(good) - at))
+        states = C.viterbi(model, C.line_features(lines))
+        hit += int(((states == 0) & (truth == 0)).sum())
+        wrong += int((states != truth).sum())
+        inside += 0 < states.mean() < 1
+        n += 1
+    assert n > 20 and 2 * hit / (2 * hit + wrong) >= 0.9 and inside >= 0.9 * n
+
+
+def test_sparse_language_model_equals_the_dense_one(spark, frame):
+    """Scores against a plain dictionary of smoothed log frequencies."""
+    import math
+    import re
+
+    texts = {"en": "the cat the dog the cat dog", "fr": "le chat le chien le chat chien", "de": "der hund der hund katze katze"}
+    docs = frame(list(enumerate(texts.values()))).withColumn("lang", F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") + 1).cast("int")))
+    model = L.train_language_model(docs)
+    counts = {l: {w: t.split().count(w) for w in set(t.split()) if t.split().count(w) >= L.MIN_TIMES} for l, t in texts.items()}
+    entries = {w for c in counts.values() for w in c}
+    for text in ("the the le", "chat hund"):
+        total = {
+            l: sum(math.log((c.get(w, 0) + 0.5) / (sum(c.values()) + 0.5 * len(entries))) for w in re.findall(r"\w+", text))
+            for l, c in counts.items()
+        }
+        best = max(sorted(total), key=total.get)
+        want = 1 / sum(math.exp(x - total[best]) for x in total.values())
+        row = L.predict_language(frame([(1, text)]), model).first()
+        assert row["lang_pred"] == best and row["score"] == pytest.approx(want)
+
+
+def test_labels_of_one_class(spark, frame):
+    docs = frame([(i, f"text number {i} of some words") for i in range(8)])
+    labels = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, label int")
+    scores = {r["score"] for r in Q.score_quality(docs, Q.train_quality_model(docs, labels)).collect()}
+    assert all(s > 0.5 for s in scores)
+    assert Q.score_quality(docs, Q.train_quality_model(docs, labels)).count() == 8
