@@ -1,9 +1,9 @@
 """Forecasting many series at once: (series_id, t, y) in, one row per result out.
 
-Naive forecasts and smoothing are columns, windows and higher-order functions;
-ARIMA and the neural autoregression are fitted by numpy, one series (or one
-series and one net) per task group. Model parameters come from fixed grids and
-seeds, so results are repeatable; they are not those of any other package.
+Naive forecasts and smoothing on a fixed grid are columns, windows and
+higher-order functions; optimised smoothing, ARIMA and the neural autoregression
+are fitted by numpy (:mod:`models`), one series per group. Seeds are fixed, so
+results are repeatable; they are not those of any other package.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import models
 from .ordered import seasonal_lag
 
 
@@ -121,10 +122,6 @@ def forecast_ets(df: DataFrame, h: int) -> DataFrame:
     return rows.select("series_id", "form", "alpha", "beta", "h", (F.col("last_t") + F.col("h")).alias("t"), value.alias("forecast"))
 
 
-#: Fixed value: 5 % critical value of the level-stationarity statistic.
-KPSS_CRITICAL = 0.463
-
-
 def kpss(df: DataFrame, lags: int = 3) -> DataFrame:
     """(series_id, eta): level-stationarity statistic with Bartlett weights; 0
     for a constant series."""
@@ -145,110 +142,49 @@ def differencing_order(df: DataFrame) -> DataFrame:
     once = seasonal_lag(df).where("change is not null").select("series_id", "t", F.col("change").alias("y"))
     a = kpss(df).withColumnRenamed("eta", "eta0")
     b = kpss(once).withColumnRenamed("eta", "eta1")
-    d = F.when(F.col("eta0") < KPSS_CRITICAL, 0).when(F.col("eta1") < KPSS_CRITICAL, 1).otherwise(2)
+    d = F.when(F.col("eta0") < models.KPSS_CRITICAL, 0).when(F.col("eta1") < models.KPSS_CRITICAL, 1).otherwise(2)
     return a.join(b, "series_id").select("series_id", "eta0", "eta1", d.alias("d"))
 
 
-def _fit_arma(y: np.ndarray, p: int, q: int) -> tuple[float, np.ndarray, np.ndarray] | None:
-    """Hannan-Rissanen: residuals of a long autoregression, then least squares.
-
-    Returns AICc, the coefficients (constant, AR, MA) and the residuals.
-    """
-    n, long = len(y), min(8, max(1, len(y) // 4))
-    if n < long + p + q + 8:
-        return None
-    lagged = np.column_stack([np.ones(n - long)] + [y[long - i : n - i] for i in range(1, long + 1)])
-    e = np.zeros(n)
-    e[long:] = y[long:] - lagged @ np.linalg.lstsq(lagged, y[long:], rcond=None)[0]
-    start = long + max(p, q)
-    x = np.column_stack(
-        [np.ones(n - start)]
-        + [y[start - i : n - i] for i in range(1, p + 1)]
-        + [e[start - i : n - i] for i in range(1, q + 1)]
-    )
-    w = np.linalg.lstsq(x, y[start:], rcond=None)[0]
-    out = e.copy()
-    out[start:] = y[start:] - x @ w
-    m, k = n - start, p + q + 2
-    if m - k - 1 <= 0:
-        return None
-    sse = max(float((out[start:] ** 2).sum()), 1e-12)
-    return m * np.log(sse / m) + 2 * k + 2 * k * (k + 1) / (m - k - 1), w, out
-
-
-def arima_path(y: np.ndarray, h: int, d: int, max_p: int, max_q: int) -> tuple[tuple[int, int], np.ndarray]:
-    """((p, q), forecasts): all orders up to the bounds, the least AICc wins."""
-    z = np.diff(y, d)
-    best = None
-    for p in range(max_p + 1):
-        for q in range(max_q + 1):
-            fit = _fit_arma(z, p, q)
-            if fit and (best is None or fit[0] < best[0] - 1e-9):
-                best = (fit[0], p, q, fit[1], fit[2])
-    if best is None:
-        return (0, 0), np.repeat(y[-1], h)
-    _, p, q, w, e = best
-    values, errors = list(z), list(e)
-    for _ in range(h):
-        step = w[0] + sum(w[i] * values[-i] for i in range(1, p + 1)) + sum(w[p + i] * errors[-i] for i in range(1, q + 1))
-        values.append(float(step))
-        errors.append(0.0)
-    path = np.array(values[len(z) :])
-    for level in range(d, 0, -1):
-        path = np.diff(y, level - 1)[-1] + np.cumsum(path)
-    return (p, q), path
-
-
-def forecast_arima(df: DataFrame, h: int, max_p: int = 2, max_q: int = 2) -> DataFrame:
-    """(series_id, p, d, q, h, t, forecast), one series per group."""
-    rows = df.join(differencing_order(df).select("series_id", "d"), "series_id")
+def forecast_arima(df: DataFrame, h: int, max_p: int = 5, max_q: int = 5, stepwise: bool = True) -> DataFrame:
+    """(series_id, p, d, q, drift, h, t, forecast): the order of least AICc, found
+    by steps to better neighbours or by trying all of them."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        d = int(pdf["d"].iloc[0])
-        (p, q), path = arima_path(pdf["y"].to_numpy(dtype=float), h, d, max_p, max_q)
-        steps = np.arange(1, h + 1)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "p": p, "d": d, "q": q, "h": steps, "t": pdf["t"].max() + steps, "forecast": path})
+        y, steps = pdf["y"].to_numpy(dtype=float), np.arange(1, h + 1)
+        p, d, q, drift = models.arima_order(y, max_p, max_q, stepwise) if len(y) >= 12 else (0, 1, 0, False)
+        path, _ = models.arima(y, h, max_p, max_q, stepwise)
+        rows = {"series_id": pdf["series_id"].iloc[0], "p": p, "d": d, "q": q, "drift": drift}
+        return pd.DataFrame(rows | {"h": steps, "t": pdf["t"].max() + steps, "forecast": path})
 
     kind = df.schema["series_id"].dataType.simpleString()
-    return rows.groupBy("series_id").applyInPandas(fit, f"series_id {kind}, p int, d int, q int, h int, t long, forecast double")
-
+    schema = f"series_id {kind}, p int, d int, q int, drift boolean, h int, t long, forecast double"
+    return df.groupBy("series_id").applyInPandas(fit, schema)
 
-def _net_path(y: np.ndarray, h: int, seed: int, lags: int, hidden: int) -> np.ndarray:
-    """A random hidden layer with a ridge-fitted output, run forward h steps."""
-    lags = min(lags, max(1, len(y) // 3))
-    mean, scale = y.mean(), y.std() or 1.0
-    z = (y - mean) / scale
-    rng = np.random.default_rng(seed)
-    inner, bias = rng.normal(size=(lags, hidden)) / np.sqrt(lags), rng.normal(size=hidden)
 
-    def layer(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.ones(len(x)), x, np.tanh(x @ inner + bias)])
+def forecast_nnar(df: DataFrame, h: int, nets: int = 20, seed: int = 1) -> DataFrame:
+    """(series_id, h, t, forecast): trained nets on lagged values, averaged; all
+    nets of a series are fitted in one group."""
+    rows = forecast_model(df, lambda y, steps: models.nnar(y, steps, nets, seed), h)
+    return rows.select("series_id", "h", "t", "forecast")
 
-    x = np.column_stack([z[lags - i : len(z) - i] for i in range(1, lags + 1)])
-    f = layer(x)
-    w = np.linalg.solve(f.T @ f + 0.1 * np.eye(f.shape[1]), f.T @ z[lags:])
-    path = list(z)
-    for _ in range(h):
-        step = (layer(np.array([path[: -lags - 1 : -1]])) @ w).item()
-        path.append(min(5.0, max(-5.0, step)))
-    return np.array(path[len(z) :]) * scale + mean
 
-
-def forecast_nnar(df: DataFrame, h: int, nets: int = 20, seed: int = 1, lags: int = 3, hidden: int = 4) -> DataFrame:
-    """(series_id, h, t, forecast): small nets on lagged values, each fitted in
-    its own group, averaged."""
-    copies = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(nets - 1))).alias("net"))
+def forecast_model(df: DataFrame, model: str | Callable, h: int, z: float = 1.96) -> DataFrame:
+    """(series_id, h, t, forecast, lo, hi) of a model: a name of models.MODELS, or
+    a function of values and horizon that returns forecasts and their spread."""
+    run = models.MODELS[model] if isinstance(model, str) else model
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
+        path, sd = run(pdf["y"].to_numpy(dtype=float), h)
         steps = np.arange(1, h + 1)
-        path = _net_path(pdf["y"].to_numpy(dtype=float), h, seed + int(pdf["net"].iloc[0]), lags, hidden)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "h": steps, "t": pdf["t"].max() + steps, "forecast": path})
+        rows = {"series_id": pdf["series_id"].iloc[0], "h": steps, "t": pdf["t"].max() + steps}
+        return pd.DataFrame(rows | {"forecast": path, "lo": path - z * sd, "hi": path + z * sd})
 
     kind = df.schema["series_id"].dataType.simpleString()
-    paths = copies.groupBy("series_id", "net").applyInPandas(fit, f"series_id {kind}, h int, t long, forecast double")
-    return paths.groupBy("series_id", "h", "t").agg(F.avg("forecast").alias("forecast"))
+    schema = f"series_id {kind}, h int, t long, forecast double, lo double, hi double"
+    return df.groupBy("series_id").applyInPandas(fit, schema)
 
 
 def align(forecasts: DataFrame, test: DataFrame) -> DataFrame:
@@ -297,26 +233,16 @@ def best_model(report: DataFrame, measure: str = "mse") -> DataFrame:
     return report.groupBy("series_id").agg(F.min_by("model", F.struct(measure, "model")).alias("model"))
 
 
-Forecaster = Callable[[np.ndarray, int], np.ndarray]
-#: Forecasters by name; each maps past values and a horizon to h forecasts.
-FORECASTERS: dict[str, Forecaster] = {
-    "naive": lambda y, h: np.repeat(y[-1], h),
-    "mean": lambda y, h: np.repeat(y.mean(), h),
-    "drift": lambda y, h: y[-1] + np.arange(1, h + 1) * (y[-1] - y[0]) / max(len(y) - 1, 1),
-}
-
-
 def rolling_cv(df: DataFrame, forecaster: str, h: int = 1, least: int = 1) -> DataFrame:
     """(series_id, model, origin, error): each series forecast h steps ahead from
-    every origin, by a registered forecaster."""
-    run = FORECASTERS[forecaster]
+    every origin by a model of models.MODELS; the closed forms take one pass over
+    a series, the others are fitted anew at each origin."""
 
     def errors(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        y, t = pdf["y"].to_numpy(dtype=float), pdf["t"].to_numpy()
-        at = range(least, len(y) - h + 1)
-        found = [y[i + h - 1] - run(y[:i], h)[-1] for i in at]
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "model": forecaster, "origin": t[[i - 1 for i in at]], "error": found})
+        found = models.rolling_errors(pdf["y"].to_numpy(dtype=float), forecaster, h, least)
+        origin = pdf["t"].to_numpy()[least - 1 :][: len(found)]
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "model": forecaster, "origin": origin, "error": found})
 
     kind = df.schema["series_id"].dataType.simpleString()
     return df.groupBy("series_id").applyInPandas(errors, f"series_id {kind}, model string, origin long, error double")
@@ -331,17 +257,21 @@ def rolling_naive(df: DataFrame) -> DataFrame:
 def rolling_smoothing(df: DataFrame, alpha: float) -> DataFrame:
     """One-step errors of level smoothing with a fixed alpha: the recursion runs
     once over each series and keeps every error."""
-    arrays = df.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("ys"))
-    first = F.struct(F.col("ys")[0]["y"].alias("level"), F.array().cast("array<struct<origin:bigint,error:double>>").alias("out"), F.col("ys")[0]["t"].cast("bigint").alias("t"))
 
-    def step(s: Column, x: Column) -> Column:
-        e = x["y"] - s["level"]
-        row = F.struct(s["t"].alias("origin"), e.alias("error"))
-        return F.struct((s["level"] + alpha * e).alias("level"), F.concat(s["out"], F.array(row)).alias("out"), x["t"].cast("bigint").alias("t"))
+    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        level, found = None, []
+        for y in pdf["y"].tolist():
+            if level is None:
+                level = y
+                continue
+            found.append(y - level)
+            level += alpha * found[-1]
+        rows = {"series_id": pdf["series_id"].iloc[0], "model": f"level_{alpha:g}"}
+        return pd.DataFrame(rows | {"origin": pdf["t"].to_numpy()[:-1], "error": found})
 
-    done = F.aggregate(F.slice("ys", 2, F.size("ys")), first, step)
-    rows = arrays.select("series_id", F.inline(done["out"]))
-    return rows.select("series_id", F.lit(f"level_{alpha:g}").alias("model"), "origin", "error")
+    kind = df.schema["series_id"].dataType.simpleString()
+    return df.groupBy("series_id").applyInPandas(errors, f"series_id {kind}, model string, origin long, error double")
 
 
 def cv_mse(errors: DataFrame) -> DataFrame:

@@ -284,8 +284,8 @@ def border(px: DataFrame, dims: DataFrame, n: int, rgb: tuple[int, int, int] = (
 
 def pad_last_slice(tiles: DataFrame, per_slice: int, value: str = "v") -> DataFrame:
     """Every slot of every slice (tile_no), empty ones with the background 0."""
-    slices = tiles.agg(F.floor(F.max("tile_no") / per_slice).alias("last"))
-    slots = slices.select(F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("last") + 1) * per_slice - 1)).alias("tile_no"))
+    last = tiles.agg(F.max("tile_no")).first()[0]
+    slots = tiles.sparkSession.range(0 if last is None else (last // per_slice + 1) * per_slice).toDF("tile_no")
     return slots.join(tiles, "tile_no", "left").select("tile_no", F.coalesce(value, F.lit(0)).alias(value))
 
 

@@ -19,7 +19,7 @@ from sparkloom.operators import trials as Q
 from sparkloom.plans import inputs as I
 from sparkloom.plans.scratch import scratch_path
 from sparkloom.sources import sinks as K
-from sparkloom.sources.tables import contiguous_prefix, list_files, load, random_choice, read_line_counts, read_series, strip_int
+from sparkloom.sources.tables import blank_pixels, contiguous_prefix, list_files, load, random_choice, read_line_counts, read_series, strip_int
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -417,6 +417,60 @@ def o03(spark, d):
     return M.best_model(M.cv_mse(_cv_errors(spark, d)))
 
 
+# All models of the comparison: no SQL, as they are fitted (see tests/test_models.py).
+_MODELS = ("naive", "ets", "arima", "nnar")
+
+
+def _all_forecasts(train: DataFrame) -> DataFrame:
+    found = {name: M.forecast_model(train, name, HORIZON) for name in _MODELS}
+    return M.stack_models(found | {"seasonal": M.forecast_naive(train, HORIZON, 12)})
+
+
+def _all_errors(spark: SparkSession, d: str) -> DataFrame:
+    """One-step errors of all models from each origin that leaves 24 values."""
+    rows = I.monthly(spark, d)
+    parts = [M.rolling_cv(rows, name, least=24) for name in _MODELS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("m02_smoothing_fitted")
+def m02_fitted(spark, d):
+    return M.forecast_model(O.split_at(I.monthly(spark, d), I.CUT)[0], "ets", HORIZON)
+
+
+@query("m05_intervals_of_all_models")
+def m05_all(spark, d):
+    train, _ = O.split_at(I.monthly(spark, d), I.CUT)
+    parts = [M.forecast_model(train, name, HORIZON).withColumn("model", F.lit(name)) for name in _MODELS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("a01_accuracy_of_all_models")
+def a01_all(spark, d):
+    train, test = O.split_at(I.monthly(spark, d), I.CUT)
+    return M.accuracy(_all_forecasts(train), test, train)
+
+
+@query("o01_rank_of_all_models")
+def o01_all(spark, d):
+    return M.rank_models(a01_all(spark, d), "mase").select("series_id", "model", "mase", "rank")
+
+
+@query("w15_rolling_cv_of_all_models")
+def w15_all(spark, d):
+    return _all_errors(spark, d)
+
+
+@query("o02_rank_of_all_models_by_mse")
+def o02_all(spark, d):
+    return M.rank_models(M.cv_mse(_all_errors(spark, d)), "mse")
+
+
+@query("o03_best_of_all_models")
+def o03_all(spark, d):
+    return M.best_model(M.cv_mse(_all_errors(spark, d)))
+
+
 # ---------------------------------------------------------------- pixels
 
 _RGB = "image_id, x, y, r, g, b"
@@ -426,6 +480,16 @@ def _sql_clamp(x: str) -> str:
     return f"CAST(greatest(0, least(255, trunc({x}))) AS INTEGER)"
 
 
+@query(
+    "s10_blank_image",
+    "SELECT CAST(0 AS BIGINT) AS image_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, 255 AS r, 255 AS g, 255 AS b"
+    " FROM (SELECT unnest(range(8 * (SELECT count(*) FROM embeddings))) AS i)",
+)
+def s10_image(spark, d):
+    """A blank image with a row of eight pixels for each embedding."""
+    return blank_pixels(spark, 8, load(spark, d, "embeddings").count())
+
+
 @query("s10_blank_pixels", f"WITH {I.PX} SELECT image_id, x, y, 0 AS r, 255 AS g, 0 AS b FROM px")
 def s10(spark, d):
     return P.blank_like(P.image_dims(I.pixels(spark, d)), (0, 255, 0))
@@ -513,7 +577,7 @@ _BACK = "back AS (SELECT image_id - 1 AS image_id, x, y, r AS r2, g AS g2, b AS
 
 @query(
     "j01_blue_screen",
-    f"WITH {I.PX}, {_BACK} SELECT image_id, x, y, {', '.join(f'CASE WHEN b >= m * 1.6 THEN coalesce({c}2, {c}) ELSE {c} END AS {c}' for c in 'rgb')}"
+    f"WITH {I.PX.replace('px AS (', 'px AS MATERIALIZED (', 1).replace('pm AS (', 'pm AS MATERIALIZED (', 1)}, {_BACK} SELECT image_id, x, y, {', '.join(f'CASE WHEN b >= m * 1.6 THEN coalesce({c}2, {c}) ELSE {c} END AS {c}' for c in 'rgb')}"
     " FROM pm LEFT JOIN back USING (image_id, x, y) WHERE image_id % 2 = 0",
 )
 def j01(spark, d):
@@ -836,7 +900,27 @@ def p32(spark, d):
     return rows.select("page_id", "InputDirectory", "OutputDirectory", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in lists))
 
 
-@query("k04_spec_json")
+def _sql_json_field(name: str, value: str) -> str:
+    return f"'  \"{name}\" : ' || {value}"
+
+
+def _sql_json_text(value: str) -> str:
+    return f"'\"' || replace({value}, '\\', '\\\\') || '\"'"
+
+
+_JSON_FIELDS = (
+    _sql_json_field("InputDirectory", _sql_json_text(_PARENT)),
+    _sql_json_field("OutputDirectory", _sql_json_text(_PARENT)),
+    _sql_json_field("InputFileNames", f"'[ ' || {_sql_json_text("'*' || right(name, 4)")} || ' ]'"),
+)
+_JSON_INDEX = f"CASE WHEN ({_INDEX_SQL}) = '' THEN '[ ]' ELSE '[ ' || replace(({_INDEX_SQL}), ',', ', ') || ' ]' END"
+
+
+@query(
+    "k04_spec_json",
+    f"WITH {I.FILES} SELECT '{{' || chr(10) || {" || ',' || chr(10) || ".join(_JSON_FIELDS)}"
+    f" || coalesce(',' || chr(10) || {_sql_json_field('InputFileCorrespondencesIndex', _JSON_INDEX)}, '') || chr(10) || '}}' AS value FROM files",
+)
 def k04(spark, d):
     return K.spec_json(_specs(spark, d).select("InputDirectory", "OutputDirectory", "InputFileNames", "InputFileCorrespondencesIndex"))
 
@@ -973,6 +1057,9 @@ def w14(spark, d):
     return O.streaks(log, ["user_id"], ["ts", "event_id"]).select("event_id", "streak", "mastered")
 
 
-@query("s11_random_choice")
+@query(
+    "s11_random_choice",
+    "SELECT event_id, ['red', 'green', 'blue'][CAST('0x' || substr(md5('7|' || event_id), 1, 8) AS BIGINT) % 3 + 1] AS choice FROM events",
+)
 def s11(spark, d):
     return random_choice(load(spark, d, "events").select("event_id"), ["red", "green", "blue"], 7)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """Under ``spark.checkpoint.dir``; a local folder only where that is unset."""
+    """Under ``spark.checkpoint.dir``, which driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{folder}/{uuid.uuid4().hex}"

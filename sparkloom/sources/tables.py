@@ -90,7 +90,10 @@ def random_ints(spark: SparkSession, n: int, low: int, high: int, seed: int) ->
     return spark.range(n).select("id", (F.floor(F.rand(seed) * (high - low + 1)) + low).alias("value"))
 
 
-def random_choice(df: DataFrame, values: list, seed: int, name: str = "choice") -> DataFrame:
-    """Each row with one of ``values``, chosen uniformly."""
+def random_choice(df: DataFrame, values: list, seed: int, name: str = "choice", key: list[str] | None = None) -> DataFrame:
+    """Each row with one of ``values``, chosen uniformly by a hash of the seed and
+    the ``key`` columns (by default all): a choice that survives any shuffle."""
     listed = F.array(*(F.lit(v) for v in values))
-    return df.withColumn(name, F.element_at(listed, (F.floor(F.rand(seed) * len(values)) + 1).cast("int")))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in key or df.columns)))
+    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return df.withColumn(name, F.element_at(listed, (number % len(values) + 1).cast("int")))
