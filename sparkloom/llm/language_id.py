@@ -41,6 +41,8 @@ GRAMS = 20000
 ENTRIES = 2_000_000
 MIN_TIMES = 2
 LONGEST_GRAM = 4
+#: Languages whose counts are broadcast at most.
+MOST_BROADCAST = 100_000
 #: Bytes of a task's memory of word scores before it starts afresh.
 REMEMBERED = 32 << 20
 
@@ -78,12 +80,14 @@ def training_sample(docs: DataFrame) -> DataFrame:
     """About SAMPLE_ROWS rows of each language, chosen by hash of the id.
 
     The share to keep comes from a count per language, so no language is ever
-    gathered in one task.
+    gathered in one task. The counts are broadcast if they are few; then texts
+    are not shuffled by language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("rows")))
     share = F.least(F.lit(1.0), F.lit(float(SAMPLE_ROWS)) / F.col("rows"))
-    kept = known.join(counts.select("lang", share.alias("share")), "lang")
+    shares = counts.select("lang", share.alias("share"))
+    kept = known.join(F.broadcast(shares) if counts.count() <= MOST_BROADCAST else shares, "lang")
     return kept.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
 
