@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -147,6 +149,19 @@ def clean_labels(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
+@functools.cache
+def _trim():
+    """The C library's call that gives freed memory back, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Give freed memory back: workers of a finished stage live on."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``most`` bytes in each
     (a single longer text is a slice of its own)."""
@@ -161,7 +176,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
                 start, total = i, 0
             total += n
         yield batch.slice(start)
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

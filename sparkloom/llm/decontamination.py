@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stored, table, text_key, without_rows
+from .common import as_bytes, release_memory, slices, stored, table, text_key, without_rows
 from .kernels import word_hashes
 
 WINDOW = 10
@@ -247,6 +247,7 @@ def search(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame:
                     ],
                     ["row", "doc_id", "text_key", "n_words", "spans", "items"],
                 )
+            release_memory()
 
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
     schema = (

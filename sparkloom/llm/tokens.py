@@ -17,7 +17,6 @@ stays inside its chunk. A text with a special token is encoded as a whole.
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -29,7 +28,7 @@ JSON_FILE = "byte_bpe_50k.json"
 #: Fixed value: the id that ends every document.
 END = 2
 #: Chunks that a task remembers, and the longest of them in bytes.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONGEST = 48
 
 
@@ -78,13 +77,13 @@ class Encoder:
         self._with_space = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
         for token, k in self._tokenizer.get_vocab().items():
             self._with_space[k] = token.startswith("Ġ")
-        self._held: dict[bytes, list[int]] = {}
+        self._held: dict[bytes, bytes] = {}  # ids of a chunk, four bytes each
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
         plain = [t.decode("utf-8", "replace") for t in texts]
         return [e.ids for e in self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
 
-    def _chunk_ids(self, chunks: list[bytes]) -> list[list[int]]:
+    def _chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of distinct chunks. Unseen ones that begin with their only space
         are encoded side by side: each of them has one token with a space."""
         held = self._held
@@ -94,17 +93,18 @@ class Encoder:
         joined = [c for c in unseen if c[0] == 0x20 and c.rfind(b" ") == 0 and len(c) <= LONGEST]
         found = dict(zip(joined, self._side_by_side(joined))) if joined else {}
         rest = [c for c in unseen if c not in found]
-        found.update(zip(rest, self._ids(rest)))
+        found.update((c, np.array(x, dtype="<u4").tobytes()) for c, x in zip(rest, self._ids(rest)))
         out = [found[c] if c in found else held[c] for c in chunks]
         held.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
         return out
 
-    def _side_by_side(self, chunks: list[bytes]) -> list[list[int]]:
-        ids = self._ids([b"".join(chunks)])[0]
-        at = np.flatnonzero(self._with_space[ids]).tolist()
+    def _side_by_side(self, chunks: list[bytes]) -> list[bytes]:
+        ids = np.array(self._ids([b"".join(chunks)])[0], dtype="<u4")
+        at = np.flatnonzero(self._with_space[ids])
         if len(at) != len(chunks):
-            return self._ids(chunks)
-        return [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)])]
+            return [np.array(x, dtype="<u4").tobytes() for x in self._ids(chunks)]
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip((4 * at).tolist(), [*(4 * at[1:]).tolist(), len(flat)])]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each text its uint32 ids, then the id that ends a document."""
@@ -129,8 +129,8 @@ class Encoder:
             return [np.array([*x, END], dtype="<u4") for x in self._ids(texts)]
         joined = b"".join(texts)
         found = self._chunk_ids([joined[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())])
-        count = np.array([len(x) for x in found], dtype=np.int64)
-        flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(count.sum()))
+        count = np.array([len(x) for x in found], dtype=np.int64) // 4
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
         at = np.cumsum(count) - count
         n = count[of]
         ends = np.concatenate(([0], np.cumsum(n)))
