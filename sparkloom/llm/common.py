@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between the JVM and Python. Texts are long, and each
 #: task holds a batch on both sides.
-ARROW_BYTES = "4m"
+ARROW_BYTES = "2m"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -162,7 +162,7 @@ def release_memory() -> None:
         _trim()(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``most`` bytes in each
     (a single longer text is a slice of its own)."""
     for batch in batches:

@@ -38,7 +38,7 @@ from .kernels import word_hashes
 WINDOW = 10
 #: (window, item) rows that one block of the query set holds on average.
 BLOCK_WINDOWS = 200_000
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 19
 #: Candidate positions that a search holds at a time; one window's rarest list
 #: is taken in parts if it is longer.
 CANDIDATES = 1 << 19

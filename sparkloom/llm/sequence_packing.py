@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stored, table
-from .tokens import Encoder, cut
+from .common import as_bytes, release_memory, slices, stored, table
+from .tokens import SLICE, Encoder, cut
 
 CAPACITY = 1024
 #: Pieces that one group holds on average.
@@ -41,7 +41,7 @@ def piece_table(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             rows, of = [], []
             for k, ids in enumerate(encode(as_bytes(batch.column("text")))):
                 for piece, (start, n) in enumerate(cut(len(ids), capacity)):
@@ -52,6 +52,8 @@ def piece_table(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [batch.column("doc_id").take(pa.array(of)), *columns],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        del encode
+        release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, {PIECES}")

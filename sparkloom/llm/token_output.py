@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, table
-from .tokens import Encoder, cut
+from .common import as_bytes, release_memory, slices, table
+from .tokens import SLICE, Encoder, cut
 
 CAPACITY = 1024
 #: Bytes of text that one group of pieces comes from, on average.
@@ -89,7 +89,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             of, piece, start, length, ids = [], [], [], [], []
             for k, whole in enumerate(encode(as_bytes(batch.column("text")))):
                 found = whole.astype(ID_TYPE)
@@ -109,6 +109,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 ],
                 ["doc_id", "piece", "start", "length", "ids"],
             )
+        del encode
+        release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length int, ids binary"

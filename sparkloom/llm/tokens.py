@@ -28,8 +28,10 @@ JSON_FILE = "byte_bpe_50k.json"
 #: Fixed value: the id that ends every document.
 END = 2
 #: Chunks that a task remembers, and the longest of them in bytes.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LONGEST = 48
+#: Bytes of text encoded at a time; about 80 bytes of memory for each of them.
+SLICE = 1 << 18
 
 
 def tokenizer_of(name: str = JSON_FILE) -> Tokenizer:
