@@ -47,13 +47,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Scratch tables hold rows of up to a megabyte. Parquet would look at the sizes of
+#: pages and row groups after 100 rows only, and its codecs and readers keep buffers
+#: of that many; so sizes are looked at from the first row, and row groups are small.
+PARQUET_BOUNDS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PARQUET_BOUNDS).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
