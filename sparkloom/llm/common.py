@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -31,12 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> tempfile.TemporaryDirectory:
+    """A folder of this process, removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="spark-", ignore_cleanup_errors=True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). It may
+    be unset only where both are one process; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return path
+    if path:
+        return path
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"file://{_own_folder().name}"
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def fresh(df: DataFrame, name: str) -> str:
