@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,19 +164,23 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return SwapSearch(sizes, best_fit(sizes, capacity), capacity).run()
 
 
-def _packed(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """A group's rows with local sequence numbers, offsets and fills."""
-    rows = rows.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True])
-    rows = rows.reset_index(drop=True)
-    sizes = rows["length"].to_numpy()
-    number, offset, fill = (np.zeros(len(rows), dtype=np.int64) for _ in range(3))
+def _packed(rows: pa.Table, capacity: int) -> pa.Table:
+    """A group's rows with local sequence numbers, offsets and fills. Ids stay in
+    Arrow: with a null beside them pandas would turn them into floats."""
+    rows = rows.combine_chunks().sort_by(
+        [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")]
+    )
+    sizes = rows.column("length").to_numpy()
+    number, offset, fill = (np.zeros(len(sizes), dtype=np.int64) for _ in range(3))
     for k, items in enumerate(pack(sizes, capacity)):
         items = sorted(items)
         number[items] = k
         ends = np.cumsum(sizes[items])
         offset[items] = ends - sizes[items]
         fill[items] = ends[-1]
-    return rows.assign(number=number, offset=offset, fill=fill)
+    for name, column in (("number", number), ("offset", offset), ("fill", fill)):
+        rows = rows.append_column(name, pa.array(column))
+    return rows
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -192,11 +195,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     out = f"{own}, group_no long, number long, offset long, fill long"
 
     def grouped(rows: DataFrame, groups: int, salt: int) -> DataFrame:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _packed(pdf, capacity)
-
         key = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(salt)), F.lit(groups))
-        return rows.withColumn("group_no", key).groupBy("group_no").applyInPandas(run, out)
+        return rows.withColumn("group_no", key).groupBy("group_no").applyInArrow(lambda t: _packed(t, capacity), out)
 
     pieces = stored(pieces)
     first = max(1, -(-pieces.count() // GROUP_PIECES))
