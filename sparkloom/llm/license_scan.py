@@ -1,8 +1,9 @@
 """Licence texts by canonical digest: normalise, digest, hash-join.
 
 A text is lower-cased, lines that state a copyright (the word with a sign or a
-year, not any line that begins with it) are dropped, equivalent spellings are made one, and all but letters and digits becomes single
-spaces. The SHA-256 of what is left is looked up among the digests of known
+year, not any line that begins with it) are dropped, equivalent spellings are made
+one, marks of list items (``1.``, ``a)``, ``(b)``; bullets too) go, and all but letters
+and digits becomes single spaces. The SHA-256 of what is left is looked up among the digests of known
 licences. Whole documents are looked up as entire texts, and so is each line, as
 short notices stand on lines of their own. Column expressions only.
 
@@ -10,13 +11,15 @@ The built-in table holds short licences as texts, under their usual titles and
 without one, and long ones as digests of their published texts. It is parameter
 ``known``, so a table of any size can be given instead.
 
-A text without any of the stems that every known licence has one of cannot
-match, so it is not normalised; that changes no result.
+A text without any of the stems that every built-in licence has one of cannot
+match one of these, so it is not normalised; that changes no result. With a table
+of one's own every text is.
 
 Defined results: null and empty texts match nothing; a line counts each time it
-stands in a document; a row without doc_id has no line counts; rows with the same doc_id and different texts share their
-line counts; a repeated row has the same result as the first; of two known
-licences with the same digest the smaller id is reported. Extra columns are
+stands in a document; line counts are those of the row's own text, whatever other
+rows have its doc_id, and whether that is null or not; a repeated row has the same
+result as the first; of two known licences with the same digest the smaller id is
+reported. Extra columns are
 ignored.
 """
 
@@ -131,19 +134,19 @@ TITLES = {
 }
 #: Digests (see below) of the published texts of long licences.
 LONG = {
-    "Apache-2.0-text": "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2",
-    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
-    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
-    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
-    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
-    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
-    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
-    "MPL-1.1": "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",
-    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
-    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
-    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
-    "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
-    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "Apache-2.0-text": "1417d69346fcbd23dc902ca6fc3ab26d33252ef1696d4cd7c6f0fef0abd3226d",
+    "GPL-1.0": "44b35cc69c1f864dba217d3e35766425d272b2d229a6cde2e0cdcc67803bddf8",
+    "GPL-2.0": "9091b3188640d6723b461e8e012a229d5f77219e2083a669135a30d2b1b4297f",
+    "GPL-3.0": "fa0e7d40ef94cf64d9b7c0ab21b7a82627143767e902a38eaaf5c703821c57b8",
+    "LGPL-2.0": "2a6ac921e4c62568a2b266e6164cb6819d2a06f7007ad9e187ada8d4770702d2",
+    "LGPL-2.1": "0ca5c17aaa8deceea63b6afae195c7b8e4c2457d104e2a35bb62009f9d4d603b",
+    "LGPL-3.0": "6a1e21cb1f0adda77c68071a8eeadb804a92ffdcaa150c17f976711652333fa0",
+    "MPL-1.1": "5aa16067e47a822b554b495ff7af4677e24d8672c24a205ea3050b9cc509139b",
+    "MPL-2.0": "16bf53094aa71cdf0e28cf166f759a4fde1cc1e3cae6c443ef8e6bf4157561f4",
+    "CC0-1.0": "38ef173883793b023a74895ce0af4bbdeb6bb0bc904463871c507b03695c9c81",
+    "GFDL-1.2": "acec3597763489be8ef21cf2e96b3ed208cb48bcddc6c598aff3724672e280f0",
+    "GFDL-1.3": "96126db0aa4a0e77dd3344ee5c1afb9c7243997a829d69325ebcb1448f7264e3",
+    "Artistic-1.0-Perl": "b06eda62b7e0c69e6f8a5960610095b69349654af941a79eca834edcd5e64e49",
 }
 
 #: Equivalent spellings (left is made right), as published with
@@ -167,6 +170,10 @@ SPELLINGS = (
 )
 #: Each known licence has one of these stems.
 STEMS = "licen[sc]e|software"
+#: A list mark before more text. Texts are on one line by then, so that wrapping does
+#: not tell what is one; the last word of a text is none ("version 3.").
+MARK = r" \(?([0-9]{1,2}|[a-z])[.)] "
+SPACE = r"[\x09-\x0D\x20]+"
 _YEAR = r"[\[<{(]?((19|20)[0-9][0-9]|year|yyyy)"
 COPYRIGHT = rf"^[^a-z0-9]*(copyright[ \t:]*(\(c\)|©|{_YEAR})|(\(c\)|©)[ \t]*(copyright|{_YEAR})|all rights reserved[^a-z0-9]*$)"
 #: Digests that are broadcast at most; a larger table is joined by shuffle.
@@ -179,6 +186,9 @@ def normalised(text: Column) -> Column:
     out = F.array_join(lines, " ")
     for old, new in SPELLINGS:
         out = F.regexp_replace(out, old, new)
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, SPACE, " ")))
+    for _ in range(2):  # two marks side by side share a space
+        out = F.regexp_replace(out, MARK, " ")
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
@@ -210,34 +220,36 @@ def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFr
     return F.broadcast(rows) if bounded else rows
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame | None = None, stems: str | None = STEMS) -> DataFrame:
+def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per document row: license_id of the entire text (or null), the number of
-    lines that are a known licence, and their ids, sorted and comma-joined.
-
-    ``stems`` is for the built-in table; pass None with a table of your own.
+    lines that are a known licence, and their ids, sorted and comma-joined. ``known``
+    (license_id, text) replaces the built-in table.
     """
+    stems = STEMS if known is None else None
     table_of = known_digests(docs.sparkSession, known)
     text = F.col("text")
     if stems is not None:
         text = F.when(F.lower("text").rlike(stems), text)
-    rows = docs.select("doc_id", digest(text).alias("digest"), text.alias("text"))
+    key = F.sha2(text, 256)
+    rows = docs.select("doc_id", digest(text).alias("digest"), text.alias("text"), key.alias("key"))
     lines = (
         rows.where("text is not null")
-        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .where(F.lower("line").rlike(stems) if stems is not None else F.lit(True))
-        .select("doc_id", "pos", digest(F.col("line")).alias("digest"))
+        .select("doc_id", "key", "pos", digest(F.col("line")).alias("digest"))
         .join(table_of, "digest")
-        .select("doc_id", "pos", "license_id")
+        .select("doc_id", "key", "pos", "license_id")
         .distinct()
     )
-    found = lines.groupBy("doc_id").agg(
+    found = lines.groupBy(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")).agg(
         F.count("*").alias("n_license_lines"),
         F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"),
     )
     # texts without a digest are spread over all partitions
     spread = F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))
-    whole = rows.select("doc_id", F.coalesce("digest", spread).alias("digest")).join(table_of, "digest", "left")
-    return whole.join(found, "doc_id", "left").select(
+    whole = rows.select("doc_id", "key", F.coalesce("digest", spread).alias("digest")).join(table_of, "digest", "left")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key"))
+    return whole.join(found, same, "left").select(
         "doc_id",
         "license_id",
         F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"),
@@ -258,6 +270,9 @@ def _sql_digest(text: str) -> str:
     form = f"array_to_string({lines}, ' ')"
     for old, new in SPELLINGS:
         form = f"regexp_replace({form}, {_sql_text(old)}, {_sql_text(new)}, 'g')"
+    form = f"' ' || trim(regexp_replace({form}, {_sql_text(SPACE)}, ' ', 'g'))"
+    for _ in range(2):
+        form = f"regexp_replace({form}, {_sql_text(MARK)}, ' ', 'g')"
     form = f"trim(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     return f"CASE WHEN {form} <> '' THEN sha256({form}) END"
 
@@ -268,6 +283,9 @@ def _plain_digest(text: str) -> str:
     form = " ".join(lines)
     for old, new in SPELLINGS:
         form = re.sub(old, new, form)
+    form = " " + re.sub(SPACE, " ", form).strip()
+    for _ in range(2):
+        form = re.sub(MARK, " ", form)
     return hashlib.sha256(re.sub("[^a-z0-9]+", " ", form).strip().encode()).hexdigest()
 
 
@@ -278,15 +296,15 @@ WITH known AS (
   SELECT digest, min(license_id) AS license_id
   FROM (VALUES {", ".join(f"({_sql_text(d)}, {_sql_text(k)})" for d, k in _KNOWN_ROWS)}) AS t(digest, license_id)
   GROUP BY digest),
-rows AS (SELECT doc_id, text, {_sql_digest("text")} AS digest FROM documents),
-split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
-numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
+rows AS (SELECT row_number() OVER () AS r, doc_id, text, {_sql_digest("text")} AS digest FROM documents),
+split AS (SELECT r, string_split(text, chr(10)) AS parts FROM rows),
+numbered AS (SELECT r, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
 lines AS (
-  SELECT DISTINCT n.doc_id, n.pos, k.license_id
-  FROM (SELECT doc_id, pos, {_sql_digest("line")} AS digest FROM numbered) n JOIN known k USING (digest)),
+  SELECT DISTINCT n.r, n.pos, k.license_id
+  FROM (SELECT r, pos, {_sql_digest("line")} AS digest FROM numbered) n JOIN known k USING (digest)),
 found AS (
-  SELECT doc_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(license_id))), ',') AS ids
-  FROM lines GROUP BY doc_id)
-SELECT r.doc_id, k.license_id, coalesce(f.n, 0) AS n_license_lines, coalesce(f.ids, '') AS line_licenses
-FROM rows r LEFT JOIN known k USING (digest) LEFT JOIN found f ON f.doc_id = r.doc_id
+  SELECT r, count(*) AS n, array_to_string(list_sort(list_distinct(list(license_id))), ',') AS ids
+  FROM lines GROUP BY r)
+SELECT rows.doc_id, k.license_id, coalesce(f.n, 0) AS n_license_lines, coalesce(f.ids, '') AS line_licenses
+FROM rows LEFT JOIN known k USING (digest) LEFT JOIN found f ON f.r = rows.r
 """

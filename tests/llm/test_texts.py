@@ -221,17 +221,42 @@ def test_only_statements_of_copyright_are_dropped(spark):
 
 def test_long_licences(frame):
     """Where the published texts are installed, they are found."""
-    folder, names = "/usr/share/common-licenses", {"Apache-2.0-text": "Apache-2.0", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0"}
+    folder = "/usr/share/common-licenses"
+    names = {
+        "Apache-2.0-text": "Apache-2.0", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3",
+        "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "Artistic-1.0-Perl": "Artistic",
+    }
     if not os.path.isdir(folder):
         pytest.skip("no published texts here")
-    rows = [(i, open(f"{folder}/{f}").read()) for i, f in enumerate(names.values())]
-    assert [x[0] for _, x in sorted(scan(frame, rows).items())] == list(names)
+    assert set(names) == set(L.LONG)
+    texts = [open(f"{folder}/{f}").read() for f in names.values()]
+    indented = [textwrap.indent(t, "  * ") for t in texts]
+    got = scan(frame, list(enumerate(texts + indented)))
+    assert [got[i][0] for i in range(len(got))] == 2 * list(names)
+
+
+def test_list_marks(frame):
+    text = L.KNOWN["BSD-3-Clause"].replace("<year>", "2020")
+    marks = [("1. ", "2. ", "3. "), ("a) ", "b) ", "c) "), ("(1) ", "(2) ", "(3) "), ("* ", "* ", "* "), ("- a. ", "- b. ", "- c. "), ("", "", "")]
+    rows = []
+    for k, (a, b, c) in enumerate(marks):
+        rows.append((k, text.replace("1. ", a).replace("2. ", b).replace("3. ", c)))
+    rows.append((9, "This work is licensed under the GNU General Public License, version 2."))
+    got = scan(frame, rows)
+    assert [got[k][0] for k in range(len(marks))] == ["BSD-3-Clause"] * len(marks) and got[9][0] is None
+
+
+def test_counts_are_those_of_the_own_text(spark, frame):
+    notice = "Released under the MIT License."
+    rows = [(1, f"{notice}\nx\n{notice}"), (1, f"y\n{notice}"), (1, "software"), (None, notice), (1, f"y\n{notice}")]
+    got = L.scan_licenses(frame(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_license_lines"]) for r in got) == [(0, 1), (1, 0), (1, 1), (1, 1), (1, 2)]
 
 
 def test_own_table_and_empty_documents(spark, frame):
     own = spark.createDataFrame([("b", "Free for all"), ("a", "free  for ALL!"), ("c", "")], "license_id string, text string")
     docs = frame([(1, "Free, for all."), (2, "x")])
-    got = {r["doc_id"]: r["license_id"] for r in L.scan_licenses(docs, own, stems=None).collect()}
+    got = {r["doc_id"]: r["license_id"] for r in L.scan_licenses(docs, own).collect()}
     assert got == {1: "a", 2: None}
     assert L.scan_licenses(docs.limit(0)).count() == 0
 
