@@ -19,7 +19,9 @@ from sparkloom.operators import trials as Q
 from sparkloom.plans import inputs as I
 from sparkloom.plans.scratch import scratch_path
 from sparkloom.sources import sinks as K
-from sparkloom.sources.tables import blank_pixels, contiguous_prefix, list_files, load, random_choice, read_line_counts, read_series, strip_int
+from sparkloom.sources.image_files import image_bytes, image_file_rows, read_image_files
+from sparkloom.sources.named_files import write_named
+from sparkloom.sources.tables import blank_pixels, contiguous_prefix, list_files, load, random_choice, read_line_counts, read_named_texts, read_series, strip_int
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,6 +141,83 @@ def s05(spark, d):
     return list_files(spark, d, recursive=True).select(K.base_name(F.col("path")).alias("name"), "length")
 
 
+_IMAGE_NAMES = "CASE WHEN vec_id % 2 = 0 THEN 'even/' || vec_id || '.bmp' ELSE 'odd/' || vec_id || '.PNG' END"
+_IMAGE_FILES = (
+    f"{I.PX}, img AS (SELECT image_id AS vec_id, string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY y, x) AS rgb FROM px GROUP BY image_id)"
+)
+
+
+def _image_files(spark, d) -> tuple[str, str]:
+    """Images of the embeddings as BMP and PNG files, those of every 50th id cut
+    off; the folder, and the time before they were written."""
+    path, began = scratch_path(spark), spark.sql("SELECT date_sub(current_date(), 1)").first()[0]
+    name = F.expr(_IMAGE_NAMES.replace("vec_id", "image_id"))
+    rows = image_file_rows(image_bytes(I.pixels(spark, d)).withColumn("name", name), "suffix")
+    number = F.regexp_extract("name", r"(\d+)", 1).cast("long")
+    cut = F.expr("substring(content, 1, length(content) div 2)")
+    write_named(rows.withColumn("content", F.when(number % 50 == 7, cut).when(number % 50 == 8, cut).otherwise(F.col("content"))), path)
+    return path, str(began)
+
+
+def _short_name(path: str = "path") -> str:
+    return F.regexp_extract(path, r"([^/]+/[^/]+)$", 1).alias("name")
+
+
+@query(
+    "s08_image_files",
+    f"WITH {_IMAGE_FILES} SELECT {_IMAGE_NAMES} AS name, NOT broken AS valid, CASE WHEN broken THEN -1 ELSE 8 END AS width,"
+    " CASE WHEN broken THEN -1 ELSE 8 END AS height, CASE WHEN NOT broken THEN rgb END AS rgb"
+    " FROM (SELECT *, vec_id % 50 IN (7, 8) AS broken FROM img)",
+)
+def s08(spark, d):
+    """All files, the unreadable ones marked."""
+    path, _ = _image_files(spark, d)
+    rows = read_image_files(spark, path)
+    return rows.select(_short_name(), F.col("problem").isNull().alias("valid"), "width", "height", F.hex("rgb").alias("rgb"))
+
+
+@query(
+    "s09_valid_image_files",
+    f"WITH {_IMAGE_FILES} SELECT {_IMAGE_NAMES} AS name, rgb FROM img WHERE vec_id % 50 NOT IN (7, 8)",
+)
+def s09(spark, d):
+    """Unreadable files dropped where they are read."""
+    path, _ = _image_files(spark, d)
+    return read_image_files(spark, path, drop_invalid=True).select(_short_name(), F.hex("rgb").alias("rgb"))
+
+
+@query(
+    "s07_file_times",
+    "SELECT 'even/' || vec_id || '.bmp' AS name, CASE WHEN vec_id % 50 = 8 THEN 123 ELSE 246 END AS length, true AS stamped FROM embeddings WHERE vec_id % 2 = 0",
+)
+def s07(spark, d):
+    """Lengths of the BMP files (54 bytes before 8 rows of 24), and whether their
+    time stamps are those of this run."""
+    path, began = _image_files(spark, d)
+    rows = list_files(spark, path, recursive=True).where("path LIKE '%.bmp'")
+    stamped = (F.col("modified") >= F.lit(began).cast("timestamp")) & (F.col("modified") <= F.current_timestamp() + F.expr("INTERVAL 1 DAY"))
+    return rows.select(_short_name(), F.col("length").cast("int").alias("length"), stamped.alias("stamped"))
+
+
+@query("s06_recursive_listing", "SELECT 'g' || page_id % 7 || '/h' || page_id % 3 || '/' || page_id || '.html' AS name, strlen(html) AS length FROM pages")
+def s06(spark, d):
+    """Pages written as files in a tree of folders, and the tree listed."""
+    path = scratch_path(spark)
+    name = F.expr("concat('g', page_id % 7, '/h', page_id % 3, '/', page_id, '.html')")
+    write_named(load(spark, d, "pages").select(name.alias("name"), F.col("html").alias("content")), path)
+    rows = list_files(spark, path, recursive=True)
+    return rows.select(F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1).alias("name"), "length")
+
+
+@query("s05_directory", "SELECT page_id || '.html' AS name, strlen(html) AS length FROM pages WHERE page_id % 3 > 0")
+def s05_directory(spark, d):
+    """One folder listed, without the folders in it."""
+    path = scratch_path(spark)
+    name = F.expr("concat(if(page_id % 3 > 0, '', 'below/'), page_id, '.html')")
+    write_named(load(spark, d, "pages").select(name.alias("name"), F.col("html").alias("content")), path)
+    return list_files(spark, path).select(K.base_name(F.col("path")).alias("name"), "length")
+
+
 @query(
     "p05_strip_int",
     "SELECT event_id, TRY_CAST(trim(CASE WHEN event_id % 7 = 0 THEN event_type ELSE '  ' || event_id || ' ' END) AS BIGINT) AS number FROM events",
@@ -201,6 +280,18 @@ def k01(spark, d):
     return K.outlier_lines(I.gaps(spark, d), "gap_us", "event_id")
 
 
+@query(
+    "k01_outlier_log_files",
+    f"WITH {I.GAPS} SELECT user_id || '.log' AS name, string_agg(gap_us || ', ' || event_id || chr(10), '' ORDER BY ts, event_id) AS content"
+    " FROM classed WHERE gap_class = 'outlier' GROUP BY user_id",
+)
+def k01_files(spark, d):
+    """A log for each user, written line by line and read back by name."""
+    path = scratch_path(spark)
+    K.write_outlier_logs(I.gaps(spark, d), path, "user_id", ["ts", "event_id"], name="event_id")
+    return read_named_texts(spark, path)
+
+
 @query(
     "w02_seasonal_lag",
     f"WITH {I.SERIES} SELECT series_id, t, lag(y, 12) OVER w AS lagged, round(y - lag(y, 12) OVER w, 2) AS change FROM series"
@@ -925,6 +1016,19 @@ def k04(spark, d):
     return K.spec_json(_specs(spark, d).select("InputDirectory", "OutputDirectory", "InputFileNames", "InputFileCorrespondencesIndex"))
 
 
+@query(
+    "k04_spec_files",
+    f"WITH {I.FILES} SELECT 'jobs/' || name || '.json' AS name, '{{' || chr(10) || {" || ',' || chr(10) || ".join(_JSON_FIELDS)}"
+    f" || coalesce(',' || chr(10) || {_sql_json_field('InputFileCorrespondencesIndex', _JSON_INDEX)}, '') || chr(10) || '}}' AS value FROM files",
+)
+def k04_files(spark, d):
+    """Each spec in a file of its own name, read back by name."""
+    path = scratch_path(spark)
+    specs = _specs(spark, d).select("name", "InputDirectory", "OutputDirectory", "InputFileNames", "InputFileCorrespondencesIndex")
+    K.write_specs(specs.withColumn("name", F.concat(F.lit("jobs/"), "name")), path)
+    return read_named_texts(spark, path).withColumnRenamed("content", "value")
+
+
 @query("k02_copy_manifest", f"WITH {I.FILES} SELECT path AS src, 'out/' || name AS dst FROM files")
 def k02(spark, d):
     return K.copy_manifest(I.named_files(spark, d), "out")
@@ -998,11 +1102,10 @@ def a12(spark, d):
 
 @query("k05_tex_documents", _TEX)
 def k05(spark, d):
-    """Documents written as text, one folder each, and read back."""
+    """Documents written as text, one file each, and read back by name."""
     path = scratch_path(spark)
     K.write_tex(D.render_tex(D.pair_lines(I.lines(spark, d))), path)
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace("value", "\n$", "").alias("tex"))
+    return read_named_texts(spark, path).select(F.split("name", "[.]")[0].cast("long").alias("doc_id"), F.col("content").alias("tex"))
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.named_files import write_named
+
 
 def outlier_lines(gaps: DataFrame, delta: str = "gap_us", path: str = "path") -> DataFrame:
     """Lines ``delta, path`` of the gaps classed as outliers."""
@@ -47,10 +49,23 @@ def spec_json(specs: DataFrame) -> DataFrame:
     return specs.select(F.to_json(F.struct(*specs.columns), {"pretty": "true"}).alias("value"))
 
 
-def write_specs(specs: DataFrame, path: str) -> None:
-    spec_json(specs).write.option("lineSep", "\n\n").text(path)
+def write_specs(specs: DataFrame, path: str, name: Column | str = "name") -> None:
+    """One indented JSON file per row, called by the row's ``name`` (not a field)."""
+    named = specs.withColumn("_name", F.col(name) if isinstance(name, str) else name)
+    fields = [c for c in specs.columns if c != name]
+    text = F.to_json(F.struct(*fields), {"pretty": "true"})
+    write_named(named.select(F.concat("_name", F.lit(".json")).alias("name"), text.alias("content")), path)
 
 
 def write_tex(documents: DataFrame, path: str) -> None:
-    """One folder per doc_id with the text of its document (doc_id, tex)."""
-    documents.select("doc_id", F.col("tex").alias("value")).write.partitionBy("doc_id").text(path)
+    """One file ``<doc_id>.tex`` per document (doc_id, tex)."""
+    write_named(documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".tex")).alias("name"), F.col("tex").alias("content")), path)
+
+
+def write_outlier_logs(gaps: DataFrame, path: str, key: str, order: list[str], delta: str = "gap_us", name: str = "path") -> None:
+    """One log ``<key>.log`` per key with its outlier lines in order; lines are
+    chunks of the file, so a log need not fit into a row."""
+    lines = gaps.where("gap_class = 'outlier'").withColumn("_file", F.concat(F.col(key).cast("string"), F.lit(".log")))
+    lines = lines.repartition("_file").sortWithinPartitions("_file", *order)
+    text = F.concat(F.col(delta).cast("string"), F.lit(", "), F.col(name).cast("string"), F.lit("\n"))
+    write_named(lines.select(F.col("_file").alias("name"), text.alias("content")), path)

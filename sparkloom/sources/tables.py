@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,15 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     return reader.load(path).select("path", F.col("modificationTime").alias("modified"), "length")
 
 
+def read_named_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of the text files below a folder, whole; an empty file has
+    empty content. The name is relative to the folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    folder = F.lit(re.sub(r"^[a-z0-9]+:/+", "/", path).rstrip("/") + "/")
+    name = F.element_at(F.split("path", F.concat(F.lit("\\Q"), folder, F.lit("\\E")), 2), -1)
+    return files.select(name.alias("name"), F.decode("content", "utf-8").alias("content"))
+
+
 def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
     """path, width, height, channels and RGB bytes of image files.
 

@@ -66,8 +66,15 @@ def test_sinks(spark, tmp_path):
     gaps = spark.createDataFrame([(5, "a", "outlier"), (6, "b", "normal")], "gap_us long, path string, gap_class string")
     K.write_outlier_log(gaps, str(tmp_path / "log"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "log")).collect()] == ["5, a"]
-    K.write_specs(spark.createDataFrame([("d", ["*.png"])], "InputDirectory string, InputFileNames array<string>"), str(tmp_path / "spec"))
-    assert '"InputDirectory" : "d"' in "".join(r[0] + "\n" for r in spark.read.text(str(tmp_path / "spec")).collect())
+    K.write_specs(spark.createDataFrame([("d", ["*.png"])], "InputDirectory string, InputFileNames array<string>"), str(tmp_path / "spec"), F.lit("sub/job"))
+    assert '"InputDirectory" : "d"' in (tmp_path / "spec/sub/job.json").read_text()
+    K.write_tex(spark.createDataFrame([(3, "a\nb"), (4, "")], "doc_id long, tex string"), str(tmp_path / "tex"))
+    assert (tmp_path / "tex/3.tex").read_text() == "a\nb" and (tmp_path / "tex/4.tex").read_text() == ""
+    lines = spark.createDataFrame([("k", t, 10 * t, f"p{t}", "outlier") for t in range(50)] + [("q", 1, 2, "x", "normal")], "key string, t int, gap_us long, path string, gap_class string")
+    K.write_outlier_logs(lines.repartition(4), str(tmp_path / "logs"), "key", ["t"])
+    assert (tmp_path / "logs/k.log").read_text() == "".join(f"{10 * t}, p{t}\n" for t in range(50)) and not (tmp_path / "logs/q.log").exists()
+    named = {r["name"]: r["content"] for r in read_named_texts(spark, str(tmp_path / "tex")).collect()}
+    assert named == {"3.tex": "a\nb", "4.tex": ""}
     files = spark.createDataFrame([("x/a_1", None), ("x/b_1", "K")], "path string, key string")
     assert [tuple(r) for r in K.keyed_copy_manifest(files, "key", "out").collect()] == [("x/b_1", "out/K__b_1")]
     assert K.unmatched(files, "key").count() == 1
