@@ -51,10 +51,10 @@ def spec_json(specs: DataFrame) -> DataFrame:
 
 def write_specs(specs: DataFrame, path: str, name: Column | str = "name") -> None:
     """One indented JSON file per row, called by the row's ``name`` (not a field)."""
-    named = specs.withColumn("_name", F.col(name) if isinstance(name, str) else name)
-    fields = [c for c in specs.columns if c != name]
+    own = F.col(name) if isinstance(name, str) else name
+    fields = [c for c in specs.columns if not isinstance(name, str) or c != name]
     text = F.to_json(F.struct(*fields), {"pretty": "true"})
-    write_named(named.select(F.concat("_name", F.lit(".json")).alias("name"), text.alias("content")), path)
+    write_named(specs.select(F.concat(own, F.lit(".json")).alias("name"), text.alias("content")), path)
 
 
 def write_tex(documents: DataFrame, path: str) -> None:
