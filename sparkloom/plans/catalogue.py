@@ -20,8 +20,9 @@ from sparkloom.plans import inputs as I
 from sparkloom.plans.scratch import scratch_path
 from sparkloom.sources import sinks as K
 from sparkloom.sources.image_files import image_bytes, image_file_rows, read_image_files
+from sparkloom.sources.listing import read_named_texts
 from sparkloom.sources.named_files import write_named
-from sparkloom.sources.tables import blank_pixels, contiguous_prefix, list_files, load, random_choice, read_line_counts, read_named_texts, read_series, strip_int
+from sparkloom.sources.tables import blank_pixels, contiguous_prefix, list_files, load, random_choice, read_line_counts, read_series, strip_int
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.folders import open_folder
+from sparkloom.sources.listing import list_tree
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,18 +52,14 @@ def contiguous_prefix(df: DataFrame, key: list[str], order: list[str], value: st
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """path, modified and length of files; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(path).select("path", F.col("modificationTime").alias("modified"), "length")
-
-
-def read_named_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content) of the text files below a folder, whole; an empty file has
-    empty content. The name is relative to the folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    folder = F.lit(re.sub(r"^[a-z0-9]+:/+", "/", path).rstrip("/") + "/")
-    name = F.element_at(F.split("path", F.concat(F.lit("\\Q"), folder, F.lit("\\E")), 2), -1)
-    return files.select(name.alias("name"), F.decode("content", "utf-8").alias("content"))
+    """path, modified and length of files; contents are not read. A store that only
+    Spark's readers know is listed by the driver, and empty files are left out there."""
+    try:
+        open_folder(path)
+    except ValueError:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        return reader.load(path).select("path", F.col("modificationTime").alias("modified"), "length")
+    return list_tree(spark, path, recursive)
 
 
 def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:

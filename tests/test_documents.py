@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import documents as D
 from sparkloom.sources import sinks as K
-from sparkloom.sources.tables import list_files, random_ints, read_line_counts, read_named_texts
+from sparkloom.sources.listing import read_named_texts
+from sparkloom.sources.tables import list_files, random_ints, read_line_counts
 
 
 def one(spark, value, column):
