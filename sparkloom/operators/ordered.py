@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sparkloom.operators.quantiles import exact_quantiles
+
 Names = Sequence[str]
 
 
@@ -85,9 +87,8 @@ def weather_windows_in_buckets(
 def scale_stops(df: DataFrame, columns: Names) -> DataFrame:
     """Lowest, median and highest value of each of the columns, one row each."""
     rows = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("counter"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x"))
-    return rows.groupBy("x.counter").agg(
-        F.min("x.v").alias("lowest"), F.percentile("x.v", F.lit(0.5)).alias("middle"), F.max("x.v").alias("highest")
-    )
+    q = exact_quantiles(rows.select("x.*"), ["counter"], "v", (0.0, 0.5, 1.0))
+    return q.select("counter", *(F.col("q")[i].alias(c) for i, c in enumerate(("lowest", "middle", "highest"))))
 
 
 def global_number(df: DataFrame, order: Names, bucket: Column) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.quantiles import exact_quantiles
+
 RGB = ("r", "g", "b")
 XY = ("image_id", "x", "y")
 
@@ -168,8 +170,7 @@ def set_pixels(px: DataFrame, updates: DataFrame) -> DataFrame:
 def window_level(vox: DataFrame, value: str = "v", w: float = 1.5) -> DataFrame:
     """``level``: values mapped to 0..255 between robust bounds of each image,
     max(Q1 - w IQR, least) and min(Q3 + w IQR, greatest), truncated."""
-    q = F.percentile(value, F.array(*(F.lit(p) for p in (0.0, 0.25, 0.75, 1.0))))
-    bounds = vox.groupBy("image_id").agg(q.alias("q")).select(
+    bounds = exact_quantiles(vox, ["image_id"], value, (0.0, 0.25, 0.75, 1.0)).select(
         "image_id",
         F.greatest(F.col("q")[1] - w * (F.col("q")[2] - F.col("q")[1]), F.col("q")[0]).alias("low"),
         F.least(F.col("q")[2] + w * (F.col("q")[2] - F.col("q")[1]), F.col("q")[3]).alias("high"),

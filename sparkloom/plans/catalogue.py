@@ -16,6 +16,7 @@ from sparkloom.operators import forecast as M
 from sparkloom.operators import ordered as O
 from sparkloom.operators import pixels as P
 from sparkloom.operators import trials as Q
+from sparkloom.operators.quantiles import exact_quantiles
 from sparkloom.plans import inputs as I
 from sparkloom.plans.scratch import scratch_path
 from sparkloom.sources import sinks as K
@@ -769,6 +770,32 @@ def a03(spark, d):
     return P.window_level(I.voxels(spark, d)).drop("v")
 
 
+@query(
+    "a03_levels_of_one_large_image",
+    f"WITH {I.VOX}, q AS (SELECT quantile_cont(v, [0.0, 0.25, 0.75, 1.0]) AS q FROM vox), bounds AS (SELECT greatest(q[2] - 1.5::DOUBLE * (q[3] - q[2]), q[1]) AS low,"
+    " least(q[3] + 1.5::DOUBLE * (q[3] - q[2]), q[4]) AS high FROM q) SELECT image_id * 64 + z * 16 + y * 4 + x AS place,"
+    " CAST(least(255, greatest(0, trunc((least(greatest(v, low), high) - low) * 255 / (high - low)))) AS INTEGER) AS level FROM vox, bounds",
+)
+def a03_large(spark, d):
+    """All volumes as one image, whose quartiles no task can hold."""
+    place = F.expr("image_id * 64 + z * 16 + y * 4 + x")
+    rows = I.voxels(spark, d).select(F.lit(0).alias("image_id"), place.alias("place"), "v")
+    return P.window_level(rows).select("place", "level")
+
+
+@query(
+    "a06_quartiles_of_prices",
+    "SELECT l_returnflag AS flag, quantile_cont(l_extendedprice, 0.0) AS lowest, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1,"
+    " round(quantile_cont(l_extendedprice, 0.5), 4) AS middle, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3,"
+    " quantile_cont(l_extendedprice, 1.0) AS highest FROM (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice FROM lineitem) GROUP BY l_returnflag",
+)
+def a06_quartiles(spark, d):
+    """Stops of a scale with quartiles, over a few groups of a great many values."""
+    q = exact_quantiles(load(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", (0.0, 0.25, 0.5, 0.75, 1.0))
+    names = ("lowest", "q1", "middle", "q3", "highest")
+    return q.select(F.col("l_returnflag").alias("flag"), *(F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(names)))
+
+
 @query("a04_rescale8", f"WITH {I.VOX}, bounds AS (SELECT image_id, min(v) AS low, max(v) AS high FROM vox GROUP BY image_id) {_LEVEL}")
 def a04(spark, d):
     return P.rescale8(I.voxels(spark, d)).drop("v")
