@@ -1,9 +1,10 @@
 """Ordered, keyed rows: weather windows, gaps, sessions, daily changes, streaks.
 
 The windows here are partitioned by a key; many keys spread over many tasks. For
-one very long key use :func:`weather_windows_in_buckets` and
-:func:`global_number`, which need a window only inside time buckets and over one
-summary row per bucket.
+few, very long keys give ``bucket``, a column that rises with the order (or that of
+:func:`sparkloom.operators.scans.range_buckets`): the same values are then worked
+out bucket by bucket with carries (:mod:`sparkloom.operators.scans`), and no task
+holds a key. :func:`global_number` numbers a whole table in that way.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sparkloom.operators.quantiles import exact_quantiles
+from sparkloom.operators.scans import Previous, RunLength, RunningMax, RunningSum, segmented
 
 Names = Sequence[str]
+Bucket = Column | str | None
 
 
 def _over(key: Names, order: Names) -> WindowSpec:
@@ -33,55 +36,34 @@ def split_timestamp(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("date_part", F.date_format(ts, "M/d/yyyy")).withColumn("time_part", F.date_format(ts, "h:mm:ss a"))
 
 
-def _counter(position: Column, k: int) -> Column:
+def counter(position: Column, k: int) -> Column:
     return F.when(F.col("state") == "W", (position - 1) % k + 1).otherwise(0).cast("int")
 
 
-def run_positions(df: DataFrame, key: Names, order: Names) -> DataFrame:
+def run_positions(df: DataFrame, key: Names, order: Names, bucket: Bucket = None) -> DataFrame:
     """``run_pos``: 1, 2, ... within each run of W rows of a key, else 0."""
+    is_w = F.col("state").eqNullSafe("W")
+    if bucket is not None:
+        out = segmented(df, key, order, bucket, {"run_pos": RunLength(is_w, ~is_w)})
+        return out.withColumn("run_pos", F.col("run_pos").cast("int"))
     w = _over(key, order)
     counted = df.withColumn("_w", F.coalesce(F.sum((F.col("state") == "W").cast("int")).over(w), F.lit(0)))
-    at_break = F.max(F.when(F.col("state").eqNullSafe("W"), F.lit(None)).otherwise(F.col("_w"))).over(w)
+    at_break = F.max(F.when(is_w, F.lit(None)).otherwise(F.col("_w"))).over(w)
     position = F.when(F.col("state") == "W", F.col("_w") - F.coalesce(at_break, F.lit(0))).otherwise(0)
     return counted.withColumn("run_pos", position.cast("int")).drop("_w")
 
 
-def weather_windows(df: DataFrame, ks: Sequence[int], key: Names, order: Names) -> DataFrame:
+def weather_windows(df: DataFrame, ks: Sequence[int], key: Names, order: Names, bucket: Bucket = None) -> DataFrame:
     """Counters ``win<k>`` that run 1..k over each run of W rows and are 0 on D."""
-    out = run_positions(df, key, order)
+    out = run_positions(df, key, order, bucket)
     for k in ks:
-        out = out.withColumn(f"win{k}", _counter(F.col("run_pos"), k))
+        out = out.withColumn(f"win{k}", counter(F.col("run_pos"), k))
     return out.drop("run_pos")
 
 
-def weather_windows_in_buckets(
-    df: DataFrame, ks: Sequence[int], key: Names, order: Names, bucket: Column
-) -> DataFrame:
-    """The same for few, very long keys; ``bucket`` must rise with ``order``.
-
-    Runs are numbered inside buckets; one summary row per bucket tells how long
-    a run reaches into the next, which is added to the rows before that bucket's
-    first break.
-    """
-    local = run_positions(df.withColumn("_bucket", bucket), [*key, "_bucket"], order)
-    w = _over([*key, "_bucket"], order)
-    local = local.withColumn("_broken", F.max((~F.col("state").eqNullSafe("W")).cast("int")).over(w))
-    keys = [*key, "_bucket"]
-    summary = local.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        (F.max("_broken") == 0).alias("_all"),
-        F.max_by("run_pos", F.struct(*order)).alias("_tail"),
-    )
-    span = _over(key, ["_bucket"])
-    summary = summary.withColumn("_part", F.sum((~F.col("_all")).cast("int")).over(span))
-    reach = F.sum(F.when(F.col("_all"), F.col("_n")).otherwise(F.col("_tail"))).over(_over([*key, "_part"], ["_bucket"]))
-    summary = summary.withColumn("_open", reach)
-    summary = summary.withColumn("_carry", F.coalesce(F.lag("_open").over(span), F.lit(0)))
-    out = local.join(summary.select(*keys, "_carry"), keys)
-    position = F.when((F.col("_broken") == 0), F.col("run_pos") + F.col("_carry")).otherwise(F.col("run_pos"))
-    for k in ks:
-        out = out.withColumn(f"win{k}", _counter(position, k))
-    return out.drop("_bucket", "_broken", "_carry", "run_pos")
+def weather_windows_in_buckets(df: DataFrame, ks: Sequence[int], key: Names, order: Names, bucket: Column) -> DataFrame:
+    """The same for few, very long keys; ``bucket`` must rise with ``order``."""
+    return weather_windows(df, ks, key, order, bucket)
 
 
 def scale_stops(df: DataFrame, columns: Names) -> DataFrame:
@@ -127,23 +109,30 @@ def seasonal_lag(df: DataFrame, m: int = 1, key: Names = ("series_id",), order:
     return df.withColumn("lagged", earlier).withColumn("change", F.col(value) - F.col("lagged"))
 
 
-def daily_new(df: DataFrame, key: Names = ("region",), order: Names = ("day_index",), value: str = "cases") -> DataFrame:
+def _before(df: DataFrame, key: Names, order: Names, value: str, bucket: Bucket) -> DataFrame:
+    """``_before``: the value of the row before."""
+    if bucket is not None:
+        return segmented(df, key, order, bucket, {"_before": Previous(F.col(value))})
+    return df.withColumn("_before", F.lag(value).over(_over(key, order)))
+
+
+def daily_new(
+    df: DataFrame, key: Names = ("region",), order: Names = ("day_index",), value: str = "cases", bucket: Bucket = None
+) -> DataFrame:
     """``new_cases``: rise since the row before, not below 0; the first is 0."""
-    before = F.lag(value).over(_over(key, order))
-    return df.withColumn("new_cases", F.coalesce(F.greatest(F.col(value) - before, F.lit(0)), F.lit(0)))
+    rise = F.greatest(F.col(value) - F.col("_before"), F.lit(0))
+    return _before(df, key, order, value, bucket).withColumn("new_cases", F.coalesce(rise, F.lit(0))).drop("_before")
 
 
 def day_to_date(df: DataFrame, first_day: str, day: str = "day_index") -> DataFrame:
     return df.withColumn("day", F.date_add(F.to_date(F.lit(first_day)), F.col(day).cast("int")))
 
 
-def time_gaps(df: DataFrame, key: Names, ts: str, tie: str) -> DataFrame:
+def time_gaps(df: DataFrame, key: Names, ts: str, tie: str, bucket: Bucket = None) -> DataFrame:
     """``gap_us``: microseconds since the row before of the same key (null for
     the first); rows at the same time are ordered by ``tie``."""
-    before = F.lag(ts).over(_over(key, [ts, tie]))
-    return df.withColumn("_before", before).withColumn(
-        "gap_us", F.timestamp_diff("MICROSECOND", F.col("_before"), F.col(ts))
-    ).drop("_before")
+    gap = F.timestamp_diff("MICROSECOND", F.col("_before"), F.col(ts))
+    return _before(df, key, [ts, tie], ts, bucket).withColumn("gap_us", gap).drop("_before")
 
 
 MINUTE_US = 60_000_000
@@ -158,17 +147,24 @@ def classify_gaps(df: DataFrame, low_us: int = 5 * MINUTE_US, high_us: int = 600
     )
 
 
-def sessions(df: DataFrame, key: Names, order: Names, high_us: int = 600 * MINUTE_US) -> DataFrame:
+def sessions(df: DataFrame, key: Names, order: Names, high_us: int = 600 * MINUTE_US, bucket: Bucket = None) -> DataFrame:
     """``session``: 0, 1, ... rising at each gap of at least the high bound."""
     breaks = F.coalesce((F.col("gap_us") >= high_us).cast("int"), F.lit(0))
+    if bucket is not None:
+        return segmented(df, key, order, bucket, {"session": RunningSum(breaks)})
     return df.withColumn("session", F.sum(breaks).over(_over(key, order)))
 
 
-def streaks(log: DataFrame, key: Names, order: Names, n: int = 3) -> DataFrame:
+def streaks(log: DataFrame, key: Names, order: Names, n: int = 3, bucket: Bucket = None) -> DataFrame:
     """``streak``: right answers in a row (0 on a miss), and ``mastered`` from
-    the row on where a streak first reached n."""
+    the row on where a streak first reached n. A null answer is neither."""
+    reached = (F.col("streak") >= n).cast("int")
+    if bucket is not None:
+        run = RunLength(F.col("correct"), ~F.col("correct"))
+        out = segmented(log, key, order, bucket, {"streak": run}, {"mastered": RunningMax(reached)})
+        return out.withColumn("mastered", F.col("mastered") == 1)
     w = _over(key, order)
-    out = log.withColumn("_misses", F.sum((~F.col("correct")).cast("int")).over(w))
+    out = log.withColumn("_misses", F.coalesce(F.sum((~F.col("correct")).cast("int")).over(w), F.lit(0)))
     inside = _over([*key, "_misses"], order)
-    out = out.withColumn("streak", F.sum(F.col("correct").cast("int")).over(inside))
-    return out.withColumn("mastered", F.max((F.col("streak") >= n).cast("int")).over(w) == 1).drop("_misses")
+    out = out.withColumn("streak", F.coalesce(F.sum(F.col("correct").cast("int")).over(inside), F.lit(0)))
+    return out.withColumn("mastered", F.max(reached).over(w) == 1).drop("_misses")

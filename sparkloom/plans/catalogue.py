@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
@@ -17,6 +17,7 @@ from sparkloom.operators import ordered as O
 from sparkloom.operators import pixels as P
 from sparkloom.operators import trials as Q
 from sparkloom.operators.quantiles import exact_quantiles
+from sparkloom.operators.scans import range_buckets
 from sparkloom.plans import inputs as I
 from sparkloom.plans.scratch import scratch_path
 from sparkloom.sources import sinks as K
@@ -51,8 +52,9 @@ _STATION, _TIME = ["station"], ["ts", "event_id"]
     f" count(*) FILTER ({I.sql_window(4)} = 4) AS full_windows, CAST(max(pos) AS BIGINT) AS longest_run FROM runs GROUP BY station",
 )
 def g1(spark, d):
-    rows = O.weather_windows(I.metocean(spark, d), [4], _STATION, _TIME)
-    runs = O.run_positions(rows, _STATION, _TIME)
+    """By day, so that a station of any length is spread over tasks."""
+    runs = O.run_positions(I.metocean(spark, d), _STATION, _TIME, F.date_trunc("DAY", F.col("ts")))
+    runs = runs.withColumn("win4", O.counter(F.col("run_pos"), 4))
     return runs.groupBy("station").agg(
         F.count("*").alias("n_rows"),
         F.count_if(F.col("state") == "W").alias("n_workable"),
@@ -71,6 +73,12 @@ def _window_query(name: str, k: int) -> None:
 for _name, _k in zip(("w01", "w03", "w04", "w05", "w06", "w07"), KS):
     _window_query(f"{_name}_window_of_{_k}", _k)
 
+_STREAKS = (
+    "WITH l AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER"
+    " (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS misses FROM events),"
+    " s AS (SELECT *, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, misses ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM l)"
+    " SELECT event_id, streak, max(CASE WHEN streak >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AS mastered FROM s"
+)
 _ALL = ", ".join(f"{I.sql_window(k)} AS win{k}" for k in KS)
 
 
@@ -117,6 +125,52 @@ def a06(spark, d):
     return O.scale_stops(rows, [f"win{k}" for k in KS])
 
 
+# ---------------------------------------------------------------- the same over very long keys
+
+def _day() -> Column:
+    return F.date_trunc("DAY", F.col("ts"))
+
+
+@query("s04_contiguous_prefix_in_buckets", ORACLES["s04_contiguous_prefix"])
+def s04_buckets(spark, d):
+    height = F.when(F.col("event_id") % 17 != 0, F.col("value"))
+    rows = load(spark, d, "events").select("user_id", "ts", "event_id", height.alias("height"))
+    return contiguous_prefix(rows, ["user_id"], ["ts", "event_id"], "height", _day()).select("user_id", "event_id", "height")
+
+
+def _gaps_in_buckets(spark, d) -> DataFrame:
+    rows = load(spark, d, "events").select("user_id", "event_id", "ts")
+    return O.classify_gaps(O.time_gaps(rows, ["user_id"], "ts", "event_id", _day()))
+
+
+@query("p07_gap_class_in_buckets", f"WITH {I.GAPS} SELECT event_id, gap_us, gap_class FROM classed")
+def p07_buckets(spark, d):
+    return _gaps_in_buckets(spark, d).select("event_id", "gap_us", "gap_class")
+
+
+@query("w08_daily_new_in_buckets", f"WITH {I.CASES} SELECT region, day_index, coalesce(greatest(cases - lag(cases) OVER (PARTITION BY region ORDER BY day_index), 0), 0) AS new_cases FROM cases")
+def w08_buckets(spark, d):
+    rows = O.daily_new(I.cumulative(spark, d), bucket=F.floor(F.col("day_index") / 64))
+    return rows.select("region", F.col("day_index").cast("long").alias("day_index"), "new_cases")
+
+
+@query(
+    "w10_sessions_in_buckets",
+    "WITH g AS (SELECT event_id, ts, date_diff('microsecond', lag(ts) OVER (ORDER BY ts, event_id), ts) AS gap_us FROM events)"
+    " SELECT event_id, CAST(sum(CASE WHEN gap_us >= 60000000 THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g",
+)
+def w10_buckets(spark, d):
+    """Sessions of the whole log as one key, in ranges of equal numbers of rows."""
+    rows = range_buckets(load(spark, d, "events").select("event_id", "ts"), [], ["ts", "event_id"], 2000)
+    return O.sessions(O.time_gaps(rows, [], "ts", "event_id", "bucket"), [], ["ts", "event_id"], O.MINUTE_US, "bucket").select("event_id", "session")
+
+
+@query("w14_streaks_in_buckets", _STREAKS)
+def w14_buckets(spark, d):
+    log = load(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("correct"))
+    return O.streaks(log, ["user_id"], ["ts", "event_id"], bucket=_day()).select("event_id", "streak", "mastered")
+
+
 # ---------------------------------------------------------------- series and gaps
 
 
@@ -1176,13 +1230,7 @@ def a07(spark, d):
     return Q.phase_score(Q.score_trials(I.trials(spark, d), Q.answer_key(spark)))
 
 
-@query(
-    "w14_streaks",
-    "WITH l AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER"
-    " (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS misses FROM events),"
-    " s AS (SELECT *, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, misses ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM l)"
-    " SELECT event_id, streak, max(CASE WHEN streak >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AS mastered FROM s",
-)
+@query("w14_streaks", _STREAKS)
 def w14(spark, d):
     log = load(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("correct"))
     return O.streaks(log, ["user_id"], ["ts", "event_id"]).select("event_id", "streak", "mastered")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.scans import RunningMax, segmented
 from sparkloom.sources.folders import open_folder
 from sparkloom.sources.listing import list_tree
 
@@ -44,11 +45,15 @@ def strip_int(text: Column) -> Column:
     return F.trim(text).try_cast("bigint")
 
 
-def contiguous_prefix(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows of each key from its first up to, and without, its first null value."""
-    so_far = Window.partitionBy(*key).orderBy(*order)
-    blank = F.max(F.col(value).isNull().cast("int")).over(so_far)
-    return df.withColumn("_blank", blank).where("_blank = 0").drop("_blank")
+def contiguous_prefix(df: DataFrame, key: list[str], order: list[str], value: str, bucket: Column | str | None = None) -> DataFrame:
+    """Rows of each key from its first up to, and without, its first null value. With
+    ``bucket`` (rising with the order) no task holds a key."""
+    is_blank = F.col(value).isNull().cast("int")
+    if bucket is not None:
+        out = segmented(df, key, order, bucket, {"_blank": RunningMax(is_blank)})
+    else:
+        out = df.withColumn("_blank", F.max(is_blank).over(Window.partitionBy(*key).orderBy(*order)))
+    return out.where("_blank = 0").drop("_blank")
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
