@@ -1,7 +1,7 @@
 """Forecasting many series at once: (series_id, t, y) in, one row per result out.
 
-Naive forecasts and smoothing on a fixed grid are columns, windows and
-higher-order functions; optimised smoothing, ARIMA and the neural autoregression
+Naive forecasts, smoothing on a fixed grid and the one-step errors of the closed
+forms are columns, windows, scans and higher-order functions; optimised smoothing, ARIMA and the neural autoregression
 are fitted by numpy (:mod:`models`), one series per group. Seeds are fixed, so
 results are repeatable; they are not those of any other package.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import models
 from .ordered import seasonal_lag
+from .scans import Previous, RunningSum, affine_scan, segmented
 
 
 def _series() -> WindowSpec:
@@ -235,8 +236,13 @@ def best_model(report: DataFrame, measure: str = "mse") -> DataFrame:
 
 def rolling_cv(df: DataFrame, forecaster: str, h: int = 1, least: int = 1) -> DataFrame:
     """(series_id, model, origin, error): each series forecast h steps ahead from
-    every origin by a model of models.MODELS; the closed forms take one pass over
-    a series, the others are fitted anew at each origin."""
+    every origin with ``least`` values. One-step errors of the closed forms (CLOSED,
+    and ``level_<alpha>``) are scans in columns; other models of models.MODELS are
+    fitted anew at each origin, one series per task."""
+    if h == 1 and (forecaster in CLOSED or forecaster.startswith("level_")):
+        if forecaster in CLOSED:
+            return CLOSED[forecaster](df, least)
+        return rolling_smoothing(df, float(forecaster.removeprefix("level_")), least)
 
     def errors(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -248,30 +254,48 @@ def rolling_cv(df: DataFrame, forecaster: str, h: int = 1, least: int = 1) -> Da
     return df.groupBy("series_id").applyInPandas(errors, f"series_id {kind}, model string, origin long, error double")
 
 
-def rolling_naive(df: DataFrame) -> DataFrame:
-    """One-step errors of the naive forecast without leaving the JVM."""
-    rows = seasonal_lag(df).withColumn("origin", F.lag("t").over(_in_time()))
-    return rows.where("origin is not null").select("series_id", F.lit("naive").alias("model"), "origin", F.col("change").alias("error"))
+#: Steps of t of a bucket in which sums of one-step errors are run.
+STEPS = 4096
 
 
-def rolling_smoothing(df: DataFrame, alpha: float) -> DataFrame:
-    """One-step errors of level smoothing with a fixed alpha: the recursion runs
-    once over each series and keeps every error."""
+def _one_step(df: DataFrame, model: str, forecast: dict, error: Column, least: int, prepare: dict | None = None) -> DataFrame:
+    """Errors against a forecast that is known one row before; ``_n`` values had come
+    by then. Null values are no values; their rows have null errors."""
+    known = {"_n": RunningSum(F.col("y").isNotNull().cast("long")), **(prepare or {})}
+    before = {"origin": Previous(F.col("t")), "_seen": Previous(F.col("_n")), **forecast}
+    rows = segmented(df.select("series_id", "t", "y"), ["series_id"], ["t"], F.floor(F.col("t") / STEPS), known, before)
+    rows = rows.where(F.col("origin").isNotNull() & (F.col("_seen") >= least))
+    return rows.select("series_id", F.lit(model).alias("model"), F.col("origin").cast("long").alias("origin"), error.alias("error"))
 
-    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        level, found = None, []
-        for y in pdf["y"].tolist():
-            if level is None:
-                level = y
-                continue
-            found.append(y - level)
-            level += alpha * found[-1]
-        rows = {"series_id": pdf["series_id"].iloc[0], "model": f"level_{alpha:g}"}
-        return pd.DataFrame(rows | {"origin": pdf["t"].to_numpy()[:-1], "error": found})
 
-    kind = df.schema["series_id"].dataType.simpleString()
-    return df.groupBy("series_id").applyInPandas(errors, f"series_id {kind}, model string, origin long, error double")
+def rolling_naive(df: DataFrame, least: int = 1) -> DataFrame:
+    """One-step errors of the naive forecast."""
+    return _one_step(df, "naive", {"_last": Previous(F.col("y"))}, F.col("y") - F.col("_last"), least)
+
+
+def rolling_mean(df: DataFrame, least: int = 1) -> DataFrame:
+    """One-step errors of the mean of all values so far."""
+    mean = F.try_divide(F.col("_before"), F.col("_seen"))
+    return _one_step(df, "mean", {"_before": Previous(F.col("_total"))}, F.col("y") - mean, least, {"_total": RunningSum(F.col("y").cast("double"))})
+
+
+def rolling_smoothing(df: DataFrame, alpha: float, least: int = 1) -> DataFrame:
+    """One-step errors of level smoothing with a fixed alpha, from the first value
+    on. The recursion is an affine map of the level, so all rows of a series are
+    worked out by :func:`affine_scan`, over many tasks; a null leaves the level."""
+    y = F.col("y")
+    rows = segmented(df.select("series_id", "t", "y"), ["series_id"], ["t"], F.floor(F.col("t") / STEPS), {"_n": RunningSum(y.isNotNull().cast("long"))})
+    first = F.col("_n") == 1
+    m = F.when(y.isNull(), 1.0).when(first, 0.0).otherwise(1 - alpha)
+    c = F.when(y.isNull(), 0.0).when(first, y).otherwise(alpha * y)
+    levels = affine_scan(rows, ["series_id"], "t", m, c, "_level")
+    before = {"origin": Previous(F.col("t")), "_seen": Previous(F.col("_n")), "_last": Previous(F.col("_level"))}
+    out = segmented(levels, ["series_id"], ["t"], F.floor(F.col("t") / STEPS), before).where(F.col("origin").isNotNull() & (F.col("_seen") >= least))
+    return out.select("series_id", F.lit(f"level_{alpha:g}").alias("model"), F.col("origin").cast("long").alias("origin"), (y - F.col("_last")).alias("error"))
+
+
+#: One-step errors in columns by the name of the model.
+CLOSED: dict[str, Callable[[DataFrame, int], DataFrame]] = {"naive": rolling_naive, "mean": rolling_mean}
 
 
 def cv_mse(errors: DataFrame) -> DataFrame:

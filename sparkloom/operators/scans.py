@@ -160,3 +160,47 @@ def range_buckets(df: DataFrame, key: Sequence[str], order: Sequence[str], rows:
     # the number of a partition is fixed by writing it; equal order values stay together
     df.repartitionByRange(parts, *key, *order).withColumn(name, F.spark_partition_id()).write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Rows of a key that are composed one by one; more are composed level by level.
+WIDTH = 32
+
+
+def _composed(maps: Column) -> Column:
+    """x -> m x + c for maps applied one after the other."""
+    none = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("c"))
+    return F.aggregate(maps, none, lambda f, g: F.struct((g["m"] * f["m"]).alias("m"), (g["m"] * f["c"] + g["c"]).alias("c")))
+
+
+def _before(rows: DataFrame, width: int, most: int) -> DataFrame:
+    """(at, i, step, before): ``before`` is the composition of the steps of smaller i."""
+    own = Window.partitionBy("at", "part").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("part", F.expr(f"i div {width}")).withColumn("before", _composed(F.collect_list("step").over(own)))
+    if most < width:
+        return local.drop("part")
+    whole = _composed(F.array("before", "step"))
+    sums = local.groupBy("at", F.col("part").alias("i")).agg(F.max_by(whole, "i").alias("step"))
+    path = scratch_path(rows.sparkSession)
+    sums.write.parquet(path)  # a row for each ``width`` rows: read again for every level above
+    upper = _before(rows.sparkSession.read.parquet(path), width, most // width)
+    carry = upper.select("at", F.col("i").alias("part"), F.col("before").alias("carry"))
+    return local.join(carry, ["at", "part"]).withColumn("before", _composed(F.array("carry", "before"))).drop("part", "carry")
+
+
+def affine_scan(df: DataFrame, key: Sequence[str], t: str, m: Column, c: Column, name: str = "value", width: int = WIDTH) -> DataFrame:
+    """``name`` of each row is m * (``name`` of the row before) + c, from 0 on.
+
+    Affine maps compose to affine maps, so stretches of ``width`` numbers of ``t`` are
+    composed in parallel, then stretches of stretches, as often as the range of t
+    needs: a series of 10**7 rows takes five levels of ever fewer rows. ``t`` is an
+    integer, once for each row of a key; it need not be without gaps.
+    """
+    low, high = df.agg(F.min(t), F.max(t)).first()
+    low, high = low or 0, high or 0
+    columns = list(df.columns)
+    whole = F.struct(*(F.col(k) for k in key)) if key else F.struct(F.lit(0).alias("all"))
+    step = F.struct(m.cast("double").alias("m"), c.cast("double").alias("c"))
+    held = F.struct(*(F.col(x) for x in columns)).alias("held")
+    rows = df.select(whole.alias("at"), (F.col(t).cast("long") - low).alias("i"), step.alias("step"), held)
+    out = _before(rows, width, high - low)
+    return out.select("held.*", (F.col("step.m") * F.col("before.c") + F.col("step.c")).alias(name))

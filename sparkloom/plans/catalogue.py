@@ -536,7 +536,7 @@ _WITH_CV = f"WITH RECURSIVE {I.SERIES}, {_CV}"
 
 def _cv_errors(spark: SparkSession, d: str) -> DataFrame:
     rows = I.monthly(spark, d)
-    return M.rolling_naive(rows).unionByName(M.rolling_cv(rows, "mean")).unionByName(M.rolling_smoothing(rows, 0.3))
+    return M.rolling_naive(rows).unionByName(M.rolling_mean(rows)).unionByName(M.rolling_smoothing(rows, 0.3))
 
 
 @query("w15_rolling_cv", f"{_WITH_CV} SELECT series_id, model, origin, round(error / 1000, 2) AS error FROM errors")
