@@ -28,6 +28,12 @@ def _in_time() -> WindowSpec:
     return _series().orderBy("t")
 
 
+def _valued(df: DataFrame) -> DataFrame:
+    """Rows with a value: models are fitted to these, and forecasts follow the last
+    one. A series without any has no rows."""
+    return df.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
+
+
 def forecast_naive(df: DataFrame, h: int, m: int = 1) -> DataFrame:
     """(series_id, h, t, forecast): the last m values repeated over h steps."""
     newest = df.withColumn("rn", F.row_number().over(_series().orderBy(F.desc("t")))).where(F.col("rn") <= m)
@@ -55,6 +61,41 @@ def decompose(df: DataFrame, k: int = 2) -> DataFrame:
     return out.withColumn("remainder", F.col("y") - F.col("trend"))
 
 
+#: Neighbours on each side of the three local fits of :func:`smooth_trend`.
+SPANS = (2, 6, 18)
+
+
+def smooth_trend(df: DataFrame, spans: Sequence[int] = SPANS) -> DataFrame:
+    """``trend``: local straight lines of the span that suits each point best, and
+    ``remainder``.
+
+    For each span a line is fitted to the values within that many rows, and the
+    error at its middle is what it would be had that value been left out. The span of
+    least absolute error, averaged over the middle span, is taken (ties: the
+    narrower). Ends have one-sided fits; points without a fit of three values have
+    no trend. Nulls are no values but may have a trend.
+    """
+    t, y, out = F.col("t").cast("double"), F.col("y").cast("double"), df
+    near = lambda k: _in_time().rowsBetween(-k, k)
+    for i, k in enumerate(spans):
+        w = near(k)
+        n, sxx = F.regr_count(y, t).over(w), F.regr_sxx(y, t).over(w)
+        from_middle = t - F.regr_avgx(y, t).over(w)
+        fit = F.regr_avgy(y, t).over(w) + F.regr_slope(y, t).over(w) * from_middle
+        weight = 1 / n + from_middle * from_middle / sxx  # of the point in its own fit
+        fitted = (n >= 3) & (sxx > 0)
+        out = out.withColumn(f"_fit{i}", F.when(fitted, fit))
+        out = out.withColumn(f"_error{i}", F.when(fitted & (weight < 0.999), F.abs(y - F.col(f"_fit{i}")) / (1 - weight)))
+    middle = near(spans[len(spans) // 2])
+    for i in range(len(spans)):
+        # rounded, so that sums in another order choose alike
+        out = out.withColumn(f"_mean{i}", F.round(F.avg(f"_error{i}").over(middle), 6))
+    choices = [F.struct(F.col(f"_mean{i}").alias("error"), F.lit(i).alias("span"), F.col(f"_fit{i}").alias("fit")) for i in range(len(spans))]
+    usable = F.filter(F.array(*choices), lambda c: c["error"].isNotNull() & c["fit"].isNotNull())
+    out = out.withColumn("trend", F.array_min(usable)["fit"]).withColumn("remainder", F.col("y") - F.col("trend"))
+    return out.drop(*(f"_{c}{i}" for c in ("fit", "error", "mean") for i in range(len(spans))))
+
+
 #: The grid of smoothing forms: (form, alpha, beta, phi), 9 + 18 + 18 rows.
 ALPHAS = tuple(round(0.1 * i, 1) for i in range(1, 10))
 ETS_GRID = tuple(
@@ -161,7 +202,7 @@ def forecast_arima(df: DataFrame, h: int, max_p: int = 5, max_q: int = 5, stepwi
 
     kind = df.schema["series_id"].dataType.simpleString()
     schema = f"series_id {kind}, p int, d int, q int, drift boolean, h int, t long, forecast double"
-    return df.groupBy("series_id").applyInPandas(fit, schema)
+    return _valued(df).groupBy("series_id").applyInPandas(fit, schema)
 
 
 def forecast_nnar(df: DataFrame, h: int, nets: int = 20, seed: int = 1) -> DataFrame:
@@ -185,7 +226,7 @@ def forecast_model(df: DataFrame, model: str | Callable, h: int, z: float = 1.96
 
     kind = df.schema["series_id"].dataType.simpleString()
     schema = f"series_id {kind}, h int, t long, forecast double, lo double, hi double"
-    return df.groupBy("series_id").applyInPandas(fit, schema)
+    return _valued(df).groupBy("series_id").applyInPandas(fit, schema)
 
 
 def align(forecasts: DataFrame, test: DataFrame) -> DataFrame:
@@ -251,7 +292,7 @@ def rolling_cv(df: DataFrame, forecaster: str, h: int = 1, least: int = 1) -> Da
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "model": forecaster, "origin": origin, "error": found})
 
     kind = df.schema["series_id"].dataType.simpleString()
-    return df.groupBy("series_id").applyInPandas(errors, f"series_id {kind}, model string, origin long, error double")
+    return _valued(df).groupBy("series_id").applyInPandas(errors, f"series_id {kind}, model string, origin long, error double")
 
 
 #: Steps of t of a bucket in which sums of one-step errors are run.

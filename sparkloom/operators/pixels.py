@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.quantiles import exact_quantiles
+from sparkloom.operators.scans import Previous, segmented
 
 RGB = ("r", "g", "b")
 XY = ("image_id", "x", "y")
@@ -284,10 +285,18 @@ def border(px: DataFrame, dims: DataFrame, n: int, rgb: tuple[int, int, int] = (
 
 
 def pad_last_slice(tiles: DataFrame, per_slice: int, value: str = "v") -> DataFrame:
-    """Every slot of every slice (tile_no), empty ones with the background 0."""
-    last = tiles.agg(F.max("tile_no")).first()[0]
-    slots = tiles.sparkSession.range(0 if last is None else (last // per_slice + 1) * per_slice).toDF("tile_no")
-    return slots.join(tiles, "tile_no", "left").select("tile_no", F.coalesce(value, F.lit(0)).alias(value))
+    """Every slot of every slice (tile_no), empty ones with the background 0. Slots
+    are made where some are missing only: between a tile and the one before (known
+    by bucket, see :mod:`scans`), and after the last one to the end of its slice."""
+    tiles = tiles.where("tile_no >= 0")
+    known = segmented(tiles, [], ["tile_no"], F.floor(F.col("tile_no") / 4096), {"_before": Previous(F.col("tile_no"))})
+    first, last = F.coalesce(F.col("_before"), F.lit(-1)) + 1, F.col("tile_no") - 1
+    between = known.where(first <= last).select(F.explode(F.sequence(first, last)).alias("tile_no"))
+    end = tiles.agg(F.max("tile_no").alias("last")).select("last", ((F.floor(F.col("last") / per_slice) + 1) * per_slice - 1).alias("end"))
+    behind = end.where("last < end").select(F.explode(F.sequence(F.col("last") + 1, F.col("end"))).alias("tile_no"))
+    background = F.lit(0).cast(tiles.schema[value].dataType).alias(value)
+    empty = between.unionByName(behind).select(F.col("tile_no").cast(tiles.schema["tile_no"].dataType).alias("tile_no"), background)
+    return tiles.select("tile_no", F.coalesce(value, F.lit(0)).alias(value)).unionByName(empty)
 
 
 def image_stats(images: DataFrame, low: float, high: float) -> DataFrame:

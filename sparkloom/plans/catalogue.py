@@ -5,12 +5,14 @@ A name starts with the identifier of its operator in the survey.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.functions.table_functions import register
 from sparkloom.operators import documents as D
 from sparkloom.operators import forecast as M
 from sparkloom.operators import ordered as O
@@ -465,6 +467,35 @@ def m06(spark, d):
     return rows.select("series_id", "t", F.round("trend", 2).alias("trend"), F.round("remainder", 2).alias("remainder"))
 
 
+def _sql_trend() -> str:
+    """Three local lines, the error of each value left out, the best span."""
+    names, fits = [], []
+    for i, k in enumerate(M.SPANS):
+        w = f"OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
+        names.append(
+            f"regr_count(y, x) {w} AS n{i}, regr_sxx(y, x) {w} AS s{i}, x - regr_avgx(y, x) {w} AS d{i},"
+            f" regr_avgy(y, x) {w} AS a{i}, regr_slope(y, x) {w} AS b{i}"
+        )
+        fits.append(
+            f"CASE WHEN n{i} >= 3 AND s{i} > 0 THEN a{i} + b{i} * d{i} END AS f{i},"
+            f" CASE WHEN n{i} >= 3 AND s{i} > 0 AND 1.0::DOUBLE / n{i} + d{i} * d{i} / s{i} < 0.999 THEN abs(y - (a{i} + b{i} * d{i})) / (1 - (1.0::DOUBLE / n{i} + d{i} * d{i} / s{i})) END AS e{i}"
+        )
+    k = M.SPANS[1]
+    w = f"OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
+    means = ", ".join(f"round(avg(e{i}) {w}, 6) AS m{i}" for i in range(3))
+    return (
+        f"xy AS (SELECT series_id, t, CAST(t AS DOUBLE) AS x, y FROM series), moments AS (SELECT *, {', '.join(names)} FROM xy),"
+        f" fits AS (SELECT *, {', '.join(fits)} FROM moments), chosen AS (SELECT *, {means} FROM fits),"
+        " trend AS (SELECT series_id, t, y, CASE WHEN m0 <= coalesce(m1, m0) AND m0 <= coalesce(m2, m0) THEN f0 WHEN m1 <= coalesce(m2, m1) THEN f1 ELSE f2 END AS trend FROM chosen)"
+    )
+
+
+@query("m06_smooth_trend", f"WITH {I.SERIES}, {_sql_trend()} SELECT series_id, t, round(trend / 1000, 3) AS trend, round((y - trend) / 1000, 3) AS remainder FROM trend")
+def m06_trend(spark, d):
+    rows = M.smooth_trend(I.monthly(spark, d))
+    return rows.select("series_id", "t", F.round(F.col("trend") / 1000, 3).alias("trend"), F.round(F.col("remainder") / 1000, 3).alias("remainder"))
+
+
 _STACK = f"stacked AS (SELECT 'naive' AS model, series_id, t, forecast FROM ({_sql_naive(1)}) UNION ALL SELECT 'seasonal', series_id, t, forecast FROM ({_sql_naive(12)}))"
 _ACC = (
     _STACK + ", ch AS (SELECT series_id, abs(y - lag(y) OVER (PARTITION BY series_id ORDER BY t)) AS c FROM train),"
@@ -549,6 +580,34 @@ def f01(spark, d):
     return M.rolling_cv(I.monthly(spark, d), "mean").withColumn("error", F.round(F.col("error") / 1000, 2))
 
 
+def _viewed(df: DataFrame) -> str:
+    """A view of a name that no other query has."""
+    name = f"v_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+@query("f01_sql_table_function", f"{_WITH_CV} SELECT series_id, model, origin, round(error / 1000, 2) AS error FROM errors")
+def f01_sql(spark, d):
+    """The rolled forecasters as a table function of SQL."""
+    register(spark)
+    series = _viewed(I.monthly(spark, d))
+    calls = [f"SELECT * FROM rolling_errors(TABLE({series}) PARTITION BY (series_id) ORDER BY (t), '{m}')" for m in ("naive", "mean", "level_0.3")]
+    return spark.sql(" UNION ALL ".join(calls)).withColumn("error", F.round(F.col("error") / 1000, 2))
+
+
+@query(
+    "f02_sql_table_function",
+    "SELECT vec_id AS image_id, CAST(list_min(embedding) AS DOUBLE) AS least, CAST(list_max(embedding) AS DOUBLE) AS greatest,"
+    " CAST(len(list_filter(embedding, lambda v: CAST(v AS DOUBLE) >= -0.1::DOUBLE AND CAST(v AS DOUBLE) <= 0.1::DOUBLE)) AS BIGINT) AS within FROM embeddings",
+)
+def f02_sql(spark, d):
+    """A function of whole images as a table function of SQL."""
+    register(spark)
+    images = _viewed(load(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("pixels")))
+    return spark.sql(f"SELECT * FROM image_stats(TABLE({images}), -0.1D, 0.1D)")
+
+
 @query("a02_cv_mse", f"{_WITH_CV} SELECT series_id, model, round(mse / 1000000, 3) AS mse FROM mse")
 def a02(spark, d):
     return M.cv_mse(_cv_errors(spark, d)).withColumn("mse", F.round(F.col("mse") / 1000000, 3))
@@ -937,6 +996,18 @@ def u04(spark, d):
     return P.pad_last_slice(load(spark, d, "embeddings").select(F.col("vec_id").alias("tile_no"), F.col("label").alias("v")), 12)
 
 
+@query(
+    "u04_sparse_slots",
+    "WITH tiles AS (SELECT DISTINCT l_orderkey AS tile_no, l_orderkey % 5 + 1 AS v FROM lineitem WHERE l_orderkey % 7 < 3),"
+    " slots AS (SELECT unnest(range((SELECT (max(tile_no) // 100 + 1) * 100 FROM tiles))) AS tile_no)"
+    " SELECT tile_no, coalesce(v, 0) AS v FROM slots LEFT JOIN tiles USING (tile_no)",
+)
+def u04_sparse(spark, d):
+    """Slots completed in a numbering with many gaps."""
+    tiles = load(spark, d, "lineitem").where("l_orderkey % 7 < 3").select(F.col("l_orderkey").alias("tile_no")).distinct()
+    return P.pad_last_slice(tiles.withColumn("v", F.col("tile_no") % 5 + 1), 100)
+
+
 # ---------------------------------------------------------------- documents
 
 
