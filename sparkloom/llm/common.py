@@ -7,7 +7,7 @@ import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,8 +172,18 @@ def _trim():
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+#: Called before memory is given back, to free what this worker keeps for one stage.
+_forgetters: list[Callable[[], None]] = []
+
+
+def forget_with(forget: Callable[[], None]) -> None:
+    _forgetters.append(forget)
+
+
 def release_memory() -> None:
     """Give freed memory back: workers of a finished stage live on."""
+    for forget in _forgetters:
+        forget()
     pa.default_memory_pool().release_unused()
     if _trim():
         _trim()(0)

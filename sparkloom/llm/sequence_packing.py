@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, release_memory, slices, stored, table
-from .tokens import SLICE, Encoder, cut
+from .tokens import SLICE, cut, shared_encoder
 
 CAPACITY = 1024
 #: Pieces that one group holds on average.
@@ -39,7 +39,7 @@ def piece_table(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder()
+        encode = shared_encoder()
         for batch in slices(batches, "text", SLICE):
             rows, of = [], []
             for k, ids in enumerate(encode(as_bytes(batch.column("text")))):
@@ -51,7 +51,6 @@ def piece_table(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [batch.column("doc_id").take(pa.array(of)), *columns],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        del encode
         release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()

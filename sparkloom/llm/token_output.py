@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, release_memory, slices, table
-from .tokens import SLICE, Encoder, cut
+from .tokens import SLICE, cut, shared_encoder
 
 CAPACITY = 1024
 #: Bytes of text that one group of pieces comes from, on average.
@@ -88,7 +88,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and the ids of every piece, as bytes."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder()
+        encode = shared_encoder()
         for batch in slices(batches, "text", SLICE):
             of, piece, start, length, ids = [], [], [], [], []
             for k, whole in enumerate(encode(as_bytes(batch.column("text")))):
@@ -109,7 +109,6 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 ],
                 ["doc_id", "piece", "start", "length", "ids"],
             )
-        del encode
         release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -2,8 +2,8 @@
 
 All ids come from the ``tokenizers`` library with its default settings. Texts
 repeat their words, so a batch is cut where no token can reach across, each
-distinct chunk is encoded once, and a bounded memory of chunks is kept in the
-task. The cuts:
+distinct chunk is encoded once, and a bounded memory of chunks is kept by the
+worker for all tasks of a stage. The cuts:
 
 * before a single space or line feed between two characters that are not white
   space (a token holds white space only as its first character or throughout),
@@ -20,18 +20,21 @@ import os
 
 import numpy as np
 import public_tokenizers
+from pyspark import TaskContext
 from tokenizers import Tokenizer
 
+from .common import forget_with
 from .kernels import RangeHasher
 
 JSON_FILE = "byte_bpe_50k.json"
 #: Fixed value: the id that ends every document.
 END = 2
-#: Chunks that a task remembers, and the longest of them in bytes.
+#: Chunks of a generation: when there are more, those not met since the last time
+#: are forgotten. Longer chunks (in bytes) are not kept.
 REMEMBERED = 200_000
 LONGEST = 48
 #: Bytes of text encoded at a time; about 80 bytes of memory for each of them.
-SLICE = 1 << 18
+SLICE = 1 << 19
 
 
 def tokenizer_of(name: str = JSON_FILE) -> Tokenizer:
@@ -71,7 +74,7 @@ def chunk_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes batches of texts; made once in each task."""
+    """Encodes batches of texts."""
 
     def __init__(self, json_file: str = JSON_FILE) -> None:
         self._tokenizer = tokenizer_of(json_file)
@@ -80,6 +83,7 @@ class Encoder:
         for token, k in self._tokenizer.get_vocab().items():
             self._with_space[k] = token.startswith("Ġ")
         self._held: dict[bytes, bytes] = {}  # ids of a chunk, four bytes each
+        self._older: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
         plain = [t.decode("utf-8", "replace") for t in texts]
@@ -88,16 +92,17 @@ class Encoder:
     def _chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of distinct chunks. Unseen ones that begin with their only space
         are encoded side by side: each of them has one token with a space."""
-        held = self._held
-        if len(held) > REMEMBERED:
-            held.clear()
-        unseen = [c for c in chunks if c not in held]
+        if len(self._held) > REMEMBERED:
+            self._held, self._older = {}, self._held
+        held, older = self._held, self._older
+        out = [held.get(c) or older.get(c) for c in chunks]
+        unseen = [c for c, x in zip(chunks, out) if x is None]
         joined = [c for c in unseen if c[0] == 0x20 and c.rfind(b" ") == 0 and len(c) <= LONGEST]
         found = dict(zip(joined, self._side_by_side(joined))) if joined else {}
         rest = [c for c in unseen if c not in found]
         found.update((c, np.array(x, dtype="<u4").tobytes()) for c, x in zip(rest, self._ids(rest)))
-        out = [found[c] if c in found else held[c] for c in chunks]
-        held.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
+        out = [found[c] if x is None else x for c, x in zip(chunks, out)]
+        held.update((c, x) for c, x in zip(chunks, out) if len(c) <= LONGEST)
         return out
 
     def _side_by_side(self, chunks: list[bytes]) -> list[bytes]:
@@ -142,6 +147,31 @@ class Encoder:
         return [np.concatenate((ids[a:b], tail)) for a, b in zip(bounds, bounds[1:])]
 
 
+_shared: dict[int, Encoder] = {}
+
+
+def _stage() -> int:
+    task = TaskContext.get()
+    return task.stageId() if task else -1
+
+
+def _forget() -> None:
+    """Frees the encoder of a stage that is over."""
+    if _shared and _stage() not in _shared:
+        _shared.clear()
+
+
+forget_with(_forget)
+
+
+def shared_encoder() -> Encoder:
+    """The worker's encoder for this stage, with what earlier tasks have met."""
+    _forget()
+    if not _shared:
+        _shared[_stage()] = Encoder()
+    return _shared[_stage()]
+
+
 def cut(n: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: one piece if it
     fits, else a first piece with what is left over and then full pieces."""
