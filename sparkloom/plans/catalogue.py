@@ -17,6 +17,7 @@ from sparkloom.operators import documents as D
 from sparkloom.operators import forecast as M
 from sparkloom.operators import ordered as O
 from sparkloom.operators import pixels as P
+from sparkloom.operators import rasters as R
 from sparkloom.operators import trials as Q
 from sparkloom.operators.quantiles import exact_quantiles
 from sparkloom.operators.scans import range_buckets
@@ -740,6 +741,11 @@ def p14(spark, d):
     return P.crop(px, 2, P.image_dims(px))
 
 
+@query("p14_crop_of_blocks", ORACLES["p14_crop"])
+def p14_blocks(spark, d):
+    return R.from_blocks(R.crop_blocks(R.to_blocks(I.pixels(spark, d), P.RGB, 3), P.RGB, 2), P.RGB)
+
+
 @query("p15_squeeze_z", f"WITH {I.VOX} SELECT image_id, x, y, v FROM vox WHERE image_id % 2 = 0")
 def p15(spark, d):
     return P.squeeze_z(I.voxels(spark, d))
@@ -934,6 +940,12 @@ def a09(spark, d):
     return P.thumbnails(px, P.image_dims(px), 5, "r")
 
 
+@query("a09_thumbnails_of_blocks", _THUMB)
+def a09_blocks(spark, d):
+    """The same from blocks of three pixels a side; only sums are shuffled."""
+    return R.thumbnails_of_blocks(R.to_blocks(I.pixels(spark, d), ["r"], 3), 5, "r")
+
+
 @query("j09_four_neighbours", _THUMB.replace("* 1.75::DOUBLE", "* (7 / 3::DOUBLE)").replace("range(5)", "range(4)"))
 def j09(spark, d):
     px = I.pixels(spark, d)
@@ -971,6 +983,11 @@ def a14(spark, d):
     return P.resize_like(px, dims, dims.select("image_id", F.lit(12).alias("width"), F.lit(5).alias("height")))
 
 
+@query("a14_resize_of_blocks", ORACLES["a14_resize_like"])
+def a14_blocks(spark, d):
+    return R.resize_blocks(R.to_blocks(I.pixels(spark, d), P.RGB, 3), P.RGB, 12, 5)
+
+
 @query("u02_reflect", f"WITH {I.PX} SELECT {_RGB} FROM px UNION ALL SELECT image_id, x, 15 - y, r, g, b FROM px")
 def u02(spark, d):
     px = I.pixels(spark, d)
