@@ -218,7 +218,7 @@ def _image_files(spark, d) -> tuple[str, str]:
     return path, str(began)
 
 
-def _short_name(path: str = "path") -> str:
+def _short_name(path: str = "path") -> Column:
     return F.regexp_extract(path, r"([^/]+/[^/]+)$", 1).alias("name")
 
 
