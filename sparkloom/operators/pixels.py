@@ -209,7 +209,8 @@ def thumbnails(px: DataFrame, dims: DataFrame, size: int, value: str = "v") -> D
     """Corner-aligned bilinear thumbnails (image_id, x, y, v), truncated.
 
     Each target pixel meets its up to four neighbours by equi-join and sums
-    them by weight.
+    them by weight. Both sides are shuffled: Spark's estimate of the target pixels
+    does not count the rows that are made of each image, so it would broadcast them.
     """
     step_x, step_y = (F.when(F.lit(size > 1), (F.col(n) - 1) / F.lit(max(size - 1, 1))).otherwise(0.0) for n in ("width", "height"))
     grid = _grid(dims, size, size).withColumns({"sx": F.col("tx") * step_x, "sy": F.col("ty") * step_y})
@@ -224,7 +225,7 @@ def thumbnails(px: DataFrame, dims: DataFrame, size: int, value: str = "v") -> D
     )
     weight = F.when(F.col("a") == 1, F.col("fx")).otherwise(1 - F.col("fx")) * F.when(F.col("b") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
     near = near.withColumn("weight", weight).where("weight > 0").select("image_id", "tx", "ty", "x", "y", "weight")
-    summed = near.join(px.select(*XY, value), list(XY)).groupBy("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"))
+    summed = near.hint("merge").join(px.select(*XY, value), list(XY)).groupBy("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"))
     return summed.agg(F.floor(F.round(F.sum(F.col("weight") * F.col(value)), 6)).cast("int").alias(value))
 
 

@@ -74,6 +74,15 @@ def test_missing_back_pixel(image):
         P.blue_screen(image, back.limit(0), strict=True).collect()
 
 
+def test_thumbnails_broadcast_no_target_pixels(spark):
+    rows = spark.range(200).selectExpr("id AS image_id", "explode(sequence(0, 63)) AS p")
+    px = rows.selectExpr("image_id", "p % 8 AS x", "p div 8 AS y", "p AS r")
+    small = P.thumbnails(px, P.image_dims(px), 5, "r")
+    assert len(small.collect()) == 200 * 25
+    plan = small._jdf.queryExecution().executedPlan().toString()  # as it ran: adaptive, final
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_both_thumbnail_paths_agree(spark, image):
     px = image.withColumn("v", F.col("r") + F.col("g") * 2)
     table = sorted(tuple(r) for r in P.thumbnails(px, P.image_dims(px), 3).collect())
