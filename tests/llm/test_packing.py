@@ -42,6 +42,35 @@ def test_forgetful_encoder(monkeypatch):
         assert [x.tolist() for x in encode([(t or "").encode() for t in TEXTS])] == reference_ids()
 
 
+def test_known_chunks_are_looked_up_together(monkeypatch):
+    learned, plain = [], T.Encoder._chunk_ids
+    monkeypatch.setattr(T.Encoder, "_chunk_ids", lambda self, chunks: learned.append(len(chunks)) or plain(self, chunks))
+    encode, texts = T.Encoder(), [b"one two, three", b"two three two", b"one"]
+    first = [x.tolist() for x in encode(texts)]
+    assert [x.tolist() for x in encode(texts)] == first
+    assert learned == [5]  # "one", " two", ",", " three", "two"; nothing the second time
+
+
+def test_chunk_memory_is_exact_and_forgets():
+    rng, memory = random.Random(3), T.ChunkMemory()
+    said = [bytes(rng.choices(b"\0a ", k=rng.randrange(1, T.LONGEST + 1))) for _ in range(9000)]
+    said += [b"a" + bytes(k) for k in range(T.LONGEST)]  # told apart by their length alone
+    for turn in range(12):
+        chunks = list(dict.fromkeys(rng.sample(said, 2500)))
+        size = np.array([len(c) for c in chunks])
+        low, high = T.chunk_keys(b"".join(chunks) + bytes(16), np.cumsum(size) - size, size)
+        memory.forget(4000 if turn % 6 else 0)
+        number = memory.find(low, high)
+        assert turn % 6 or (number < 0).all()
+        at, count = memory.spans(number)
+        new = number < 0
+        flat = [x for c, n in zip(chunks, new) if n for x in c]
+        at[new] = memory.add(low[new], high[new], size[new], np.array(flat, dtype="<u4"))
+        count[new] = size[new]
+        assert memory.gather(at, count).tolist() == list(b"".join(chunks))
+        assert len(set(memory.find(low, high).tolist()) - {-1}) == len(chunks)
+
+
 def check_layout(rows, capacity):
     by = {}
     for r in rows:
